@@ -7,6 +7,9 @@ import importlib
 _WHERE = {
     "op1_packing": "packing",
     "op4_wavelet": "wavelet",
+    "op5_pii": "pii",
+    "op8_decontamination": "decontamination",
+    "op10_sharding": "sharding",
 }
 
 
