@@ -64,7 +64,7 @@ def partitions(spark: SparkSession) -> int:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of df; for files, what they hold on disk."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,8 +6,10 @@ import importlib
 
 _WHERE = {
     "op1_packing": "packing",
+    "op3_neardup": "neardup",
     "op4_wavelet": "wavelet",
     "op5_pii": "pii",
+    "op6_substrings": "substrings",
     "op8_decontamination": "decontamination",
     "op10_sharding": "sharding",
 }
@@ -18,4 +20,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from lexarium.llm.substrings import OP6_SQL
+
+    return {"op6_substrings": OP6_SQL}
