@@ -31,7 +31,8 @@ from lexarium.llm._shared import estimated_bytes, partitions, ship, table
 from lexarium.llm._words import NOT_SPACE, buffers, find_words, hashed_words, window_at, windows
 
 WINDOW = 50
-BUCKET_BYTES = 12 << 20  # of a bucket on disk, about
+BUCKET_BYTES = 4 << 20  # of a bucket on disk, about
+BUCKETS_A_PART = 3
 _REPLY = "bucket int, part int, kind int, body binary"
 
 
@@ -132,6 +133,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k = window
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     n = buckets or max(partitions(spark), -(-estimated_bytes(docs) // BUCKET_BYTES) if estimated_bytes(docs) < 1 << 56 else 1)
+    m = -(-n // BUCKETS_A_PART)  # parts
     # rows without doc_id are spread by their text
     base = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(n)).cast("int").alias("bucket"), "doc_id", "text")
 
@@ -141,11 +143,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def probes(t: pa.Table) -> pa.Table:
         b, own = Bucket(_sorted(t), k), number(t)
         keys, index, _, _ = b.anchors()
-        edge, rows = _parts(keys, n), []
-        for p in range(n):
+        edge, rows = _parts(keys, m), []
+        for p in range(m):
             x, y = edge[p], edge[p + 1]
             if x < y:
-                rows.append((own, p, 0, _short(keys[x:y], p, n).tobytes() + _bits(index[x:y])))
+                rows.append((own, p, 0, _short(keys[x:y], p, m).tobytes() + _bits(index[x:y])))
         return _rows(rows)
 
     def split(t: pa.Table, width: int):
@@ -175,7 +177,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _rows([])
         b, own = Bucket(_sorted(t), k), number(t)
         keys, index, back, hit = b.anchors()
-        edge = _parts(keys, n)
+        edge = _parts(keys, m)
         for p, body in zip(replies.column("part").to_pylist(), replies.column("body").to_pylist()):
             x, y = edge[p], edge[p + 1]
             hit[x:y] |= _flags(body, y - x)
@@ -183,8 +185,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not cand.any():
             return _rows([])
         _, keys, _, low = b.repeats(cand)
-        edge, rows = _parts(keys["a"], n), [(own, own, 1, _bits(cand))]
-        for p in range(n):
+        edge, rows = _parts(keys["a"], m), [(own, own % m, 1, _bits(cand))]
+        for p in range(m):
             x, y = edge[p], edge[p + 1]
             if x < y:
                 rows.append((own, p, 0, keys[x:y].tobytes() + low[x:y].tobytes()))
@@ -225,7 +227,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bodies, parts = replies.column("body").to_pylist(), replies.column("part").to_pylist()
             cand = _flags(bodies[kinds.index(1)], len(b.h))
             at, keys, back, low = b.repeats(cand)
-            edge, bad = _parts(keys["a"], n), np.zeros(len(keys), bool)
+            edge, bad = _parts(keys["a"], m), np.zeros(len(keys), bool)
             for p, kind, body in zip(parts, kinds, bodies):
                 if kind == 0:
                     bad[edge[p] : edge[p + 1]] = _flags(body, edge[p + 1] - edge[p])
