@@ -16,11 +16,12 @@ agree in a coordinate with the probability of their similarity. ROWS
 coordinates make a band, and bands are joined.
 
 Texts of equal shingles are one class at once. In each bucket of a band every
-class is paired with the bucket's leader only, so pairs grow with the buckets'
-rows, not with their square. Pairs are compared exactly, over all shingles, and
-classes linked at SIMILARITY or more are joined into components. Buckets whose
-members lie in several components go another round: each class is paired with a
-leader of another component, until a round makes no new link.
+class is paired with two leaders only, the first in an order of all classes and
+the first in the bucket's own order, so pairs grow with the buckets' rows, not
+with their square. Pairs are compared over all their shingles (as 32-bit hashes)
+and classes linked at SIMILARITY or more are joined into components. Buckets
+whose members lie in several components go another round: a member of each
+component is paired with one of another, until a round makes no new link.
 
 Null and empty texts, and texts without words, are near nothing but themselves:
 each such row is its own class. Equal (doc_id, text) rows share a class. Rows
@@ -142,7 +143,7 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -196,7 +197,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for x, y in zip(edge, edge[1:]):
                     one, two = np.add.reduce(mix(g[x:y])), np.add.reduce(mix(g[x:y] ^ np.uint64(0x5851F42D4C957F2D)))
                     node.append(mix(np.array([one], np.uint64) ^ mix(np.array([two + np.uint64(y - x)], np.uint64)))[0])
-                body = [g[x:y].astype("<u8").tobytes() for x, y in zip(edge, edge[1:])]
+                body = [np.unique((g[x:y] >> np.uint64(32)).astype("<u4")).tobytes() for x, y in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).astype(np.int64)), pa.array(body, pa.binary())], ["node", "body"])
 
     found = texts.select("text").mapInArrow(regions, "node bigint, body binary")
@@ -206,9 +207,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         """Without pairs whose sizes alone keep them apart."""
         return pairs.where((F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    order = F.struct(F.xxhash64("node").alias("o"), F.col("node"), F.col("size"))
-    lead = buckets.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.size").alias("size_b"))
-    pairs = close(buckets.select("key", F.col("node").alias("a"), F.col("size").alias("size_a")).join(lead, "key").where("a <> b"))
+    order = lambda *salt: F.min(F.struct(F.xxhash64("node", *salt).alias("o"), F.col("node"), F.col("size")))
+    lead = buckets.groupBy("key").agg(order().alias("l"), order("key").alias("r"))
+    led = buckets.select("key", F.col("node").alias("a"), F.col("size").alias("size_a")).join(lead, "key")
+    to = F.explode(F.array_distinct(F.array(F.struct("l.node", "l.size"), F.struct("r.node", "r.size")))).alias("to")
+    pairs = close(led.select("a", "size_a", to).select("a", "size_a", F.col("to.node").alias("b"), F.col("to.size").alias("size_b")).where("a <> b"))
     tried = settle(pairs, "pairs")
     edges = settle(_compare(tried, shingles, similarity), "edges")
     comp = components(edges)
@@ -216,12 +219,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         placed = placed.join(mixed, "key")
-        salt = F.xxhash64("node", F.lit(turn), "key")
-        by = F.struct(salt.alias("o"), F.col("node"), F.col("size"), F.col("comp"))
-        one = placed.groupBy("key").agg(F.min(by).alias("p"))
-        two = placed.join(one, "key").where(F.col("comp") != F.col("p.comp")).groupBy("key", "p").agg(F.min(by).alias("q"))
-        other = F.when(F.col("comp") == F.col("p.comp"), F.col("q")).otherwise(F.col("p"))
-        new = placed.join(two, "key").withColumn("to", other).select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("to.node").alias("b"), F.col("to.size").alias("size_b"))
+        by = F.struct(F.xxhash64("node", F.lit(turn), "key").alias("o"), F.col("node"), F.col("size"), F.col("comp"))
+        each = placed.groupBy("key", "comp").agg(F.min(by).alias("q"))
+        first = each.groupBy("key").agg(F.min("q").alias("p"))
+        new = each.join(first, "key").where("comp <> p.comp").select(F.col("q.node").alias("a"), F.col("q.size").alias("size_a"), F.col("p.node").alias("b"), F.col("p.size").alias("size_b"))
         new = settle(close(new).join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
