@@ -11,6 +11,7 @@ _WHERE = {
     "op5_pii": "pii",
     "op6_substrings": "substrings",
     "op8_decontamination": "decontamination",
+    "op9_quantisation": "quantisation",
     "op10_sharding": "sharding",
 }
 
