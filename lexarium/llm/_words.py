@@ -110,16 +110,19 @@ def find_words(data: np.ndarray, offs: np.ndarray, of_word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of byte ranges; fold maps bytes before."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def hasher(data: np.ndarray, fold: np.ndarray | None = None):
+    """A function of starts and ends that gives 64-bit hashes of byte ranges;
+    fold maps bytes before."""
     up, down = _BYTES.get(len(data) + 1)
     run = np.empty(len(data) + 1, np.uint64)
     run[0] = 0
     values = _VALUE if fold is None else _VALUE[fold]
     np.cumsum(values[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
+    return hasher(data, fold)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def windows(h: np.ndarray, doc: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

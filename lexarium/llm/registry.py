@@ -6,10 +6,12 @@ import importlib
 
 _WHERE = {
     "op1_packing": "packing",
+    "op2_toxicity": "toxicity",
     "op3_neardup": "neardup",
     "op4_wavelet": "wavelet",
     "op5_pii": "pii",
     "op6_substrings": "substrings",
+    "op7_language": "language",
     "op8_decontamination": "decontamination",
     "op9_quantisation": "quantisation",
     "op10_sharding": "sharding",
