@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("graphs", "tables", "texts")
 
 
 def _collect(name: str) -> dict:
