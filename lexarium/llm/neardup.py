@@ -20,8 +20,8 @@ class is paired with two leaders only, the first in an order of all classes and
 the first in the bucket's own order, so pairs grow with the buckets' rows, not
 with their square. Pairs are compared over all their shingles (as 32-bit hashes)
 and classes linked at SIMILARITY or more are joined into components. Buckets
-whose members lie in several components go another round: a member of each
-component is paired with one of another, until a round makes no new link.
+whose members lie in several components go another round: DRAWS members of each
+component are paired with ones of another, until a round makes no new link.
 
 Null and empty texts, and texts without words, are near nothing but themselves:
 each such row is its own class. Equal (doc_id, text) rows share a class. Rows
@@ -43,6 +43,7 @@ from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
+DRAWS = 8  # members drawn from each component of a bucket in a round
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,10 +220,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         placed = placed.join(mixed, "key")
-        by = F.struct(F.xxhash64("node", F.lit(turn), "key").alias("o"), F.col("node"), F.col("size"), F.col("comp"))
-        each = placed.groupBy("key", "comp").agg(F.min(by).alias("q"))
-        first = each.groupBy("key").agg(F.min("q").alias("p"))
-        new = each.join(first, "key").where("comp <> p.comp").select(F.col("q.node").alias("a"), F.col("q.size").alias("size_a"), F.col("p.node").alias("b"), F.col("p.size").alias("size_b"))
+        salts = range(DRAWS * turn, DRAWS * (turn + 1))
+        by = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t), "key").alias("o"), F.col("node"), F.col("size"), F.col("comp")))
+        each = placed.groupBy("key", "comp").agg(*[by(t).alias(f"q{t}") for t in salts])
+        first = each.groupBy("key").agg(*[F.min(f"q{t}").alias(f"p{t}") for t in salts])
+        drawn = F.explode(F.array(*[F.struct(F.col(f"q{t}").alias("q"), F.col(f"p{t}").alias("p")) for t in salts])).alias("d")
+        new = each.join(first, "key").select("comp", drawn).where("comp <> d.p.comp").select(F.col("d.q.node").alias("a"), F.col("d.q.size").alias("size_a"), F.col("d.p.node").alias("b"), F.col("d.p.size").alias("size_b"))
         new = settle(close(new).join(tried, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             break
