@@ -154,9 +154,10 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node each node is linked with, directly or not.
-    Labels go to neighbours and then jump to their labels' labels."""
-    both = settle(edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), "links")
-    label = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
+    edges has each pair once. Labels go to neighbours and then jump to their
+    labels' labels."""
+    both = edges.union(edges.select("b", "a")).toDF("node", "other")
+    label = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp"))
     while True:
         near = both.join(label.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         new = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
@@ -167,6 +168,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """comp after more links between components: only the graph that has the
+    linked components as its nodes is searched, then all nodes are renamed."""
+    known = comp.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    between = more.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    to = components(settle(between, "links")).toDF("comp", "to")
+    return settle(known.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each document: doc_id, class_id (the least doc_id of its
     component), class_size (documents), n_links (compared links of its text)."""
@@ -234,7 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if more.isEmpty():
             break
         edges = edges.union(more)
-        comp = components(edges)
+        comp = merged(comp, more)
 
     links = edges.union(edges.select("b", "a")).toDF("node", "o").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = classes.select("node", "low", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left")
