@@ -104,7 +104,7 @@ def community_topic_crosstab(spark, d):
 def votes(spark, d):
     """Three reviewers' votes (1 to 5, the last may be missing) for each user's
     events: final scores, whether the next round sees them, inclusion."""
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events")
     v = F.array((F.col("event_id") % 5 + 1).cast("int"), (F.col("user_id") % 5 + 1).cast("int"), F.when(F.col("event_id") % 2 == 0, (F.length("event_type") % 5 + 1).cast("int")))
     e = e.select("event_id", v.alias("v"))
     return e.select("event_id", V.final_score(F.col("v")).alias("majority"), F.round(V.final_score(F.col("v"), "mean"), 6).alias("mean"), V.escalates(F.col("v")).alias("escalates"), V.escalates(F.col("v"), "mean").alias("escalates_mean"), V.included(F.col("v")).alias("included"))
@@ -146,7 +146,7 @@ SELECT topic, count(*) AS n, round(sum(cited), 2) AS total, round(avg(cited), 2)
 SELECT vec_id, round(sum(CAST(x AS DOUBLE) * c) / sqrt(sum(CAST(x AS DOUBLE) * x) * sum(c * c)), 6) AS cosine FROM e JOIN c ON c.label = e.label AND c.i = e.i GROUP BY vec_id""",
     "extract_documents": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_orderpriority FROM orders WHERE year(o_orderdate) >= 1998 AND o_totalprice >= 1000 AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')",
     "community_topic_crosstab": f"WITH {PAPERS} SELECT year, count(*) FILTER (topic = '1-URGENT') AS urgent, count(*) FILTER (topic = '2-HIGH') AS high, count(*) FILTER (topic = '3-MEDIUM') AS medium FROM papers GROUP BY year",
-    "votes": """WITH e AS (SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS a, CAST(user_id % 5 + 1 AS INT) AS b, CASE WHEN event_id % 2 = 0 THEN CAST(length(event_type) % 5 + 1 AS INT) END AS c FROM events WHERE event_id % 3 = 0),
+    "votes": """WITH e AS (SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS a, CAST(user_id % 5 + 1 AS INT) AS b, CASE WHEN event_id % 2 = 0 THEN CAST(length(event_type) % 5 + 1 AS INT) END AS c FROM events),
 l AS (SELECT *, list_filter([a, b, c], lambda x: x IS NOT NULL) AS v FROM e),
 m AS (SELECT *, list_median(v) AS md, list_avg(v) AS av, len(list_filter(v, lambda x: x > 3)) AS up, len(list_filter(v, lambda x: x < 3)) AS down, len(list_filter(v, lambda x: x = 3)) AS mid FROM l),
 f AS (SELECT *, CASE WHEN md = 3 THEN CAST(c AS DOUBLE) ELSE CAST(md AS DOUBLE) END AS majority FROM m)

@@ -74,11 +74,11 @@ def json_extract(spark, d):
 
 def _tokens(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", "lang", F.explode(T.words(F.substring("text", 1, 400))).alias("term"))
+    return docs.select("doc_id", "lang", F.explode(T.words(F.col("text"))).alias("term"))
 
 
 def document_tfidf(spark, d):
-    """The heaviest term of each document's opening."""
+    """The heaviest term of each document."""
     t = _tokens(spark, d)
     n = t.select("doc_id").distinct().count()
     w = P.tfidf(t, "doc_id", "term", n, 3, 0.4).withColumn("w", F.round("weight", 8))
@@ -136,7 +136,7 @@ _KEY = "nullif(substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 90)
 _T = f"t AS (SELECT doc_id, n_chars, CAST(substr(source, 4) AS INT) % 2 = 0 AS even, {_KEY} AS k FROM (SELECT *, string_split(text, chr(10))[1] AS title FROM documents))"
 _PLAIN = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
 _W = "list_filter(regexp_split_to_array(lower({}), '[^a-zà-öø-ÿß]+'), lambda x: x <> '')"
-_TOK = f"tok AS (SELECT doc_id, lang, unnest({_W.format('substr(text, 1, 400)')}) AS term FROM documents)"
+_TOK = f"tok AS (SELECT doc_id, lang, unnest({_W.format('text')}) AS term FROM documents)"
 
 ORACLE = {
     "canonical_titles": f"SELECT doc_id, trim(regexp_replace({_PLAIN.format('string_split(text, chr(10))[1]')}, '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
