@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graphs", "tables", "texts")
+_MODULES = ("graphs", "tables", "texts", "records")
 
 
 def _collect(name: str) -> dict:
