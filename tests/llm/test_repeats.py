@@ -147,3 +147,16 @@ def test_shards(documents, spark):
     big = sharding.shard(table(spark, "/root/testdata/sf0.01", "documents")).groupBy("shard").sum("size").collect()
     sizes = [r[1] for r in big]
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16
+
+
+def test_components_merged_in_two_steps(spark):
+    r = random.Random(7)
+    pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(45)})
+    one, two = pairs[::2], pairs[1::2]
+    make = lambda x: spark.createDataFrame(x, "a bigint, b bigint")
+    got = {x.node: x.comp for x in neardup.merged(neardup.components(make(one)), make(two)).collect()}
+    want = {n: n for p in pairs for n in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want
