@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -67,6 +68,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """df, to be broadcast if the files it is read from hold at most `most`
+    bytes; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if estimated_bytes(df) <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

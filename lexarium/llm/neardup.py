@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import settle, ship, table
+from lexarium.llm._shared import estimated_bytes, settle, ship, small, table
 from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_ranges, mix, window_at, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -152,12 +152,32 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _union(batches):
+    """node, comp of all edges of one task, by union and find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = np.array(list(up), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(int(x)) for x in nodes], pa.int64())], ["node", "comp"])
+
+
+def components(edges: DataFrame, most: int = 4 << 20) -> DataFrame:
     """node, comp: the least node each node is linked with, directly or not.
-    edges has each pair once. Labels go to neighbours and then jump to their
-    labels' labels."""
+    edges (a, b) has each pair once. If the files that edges is read from hold
+    at most `most` bytes, one task joins them; of more, labels go to neighbours
+    and then jump to their labels' labels."""
+    if estimated_bytes(edges) <= most:
+        return settle(edges.select("a", "b").coalesce(1).mapInArrow(_union, "node bigint, comp bigint"), "labels")
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    label = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp"))
+    label = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("comp")), "labels")
     while True:
         near = both.join(label.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         new = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
@@ -170,11 +190,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
     """comp after more links between components: only the graph that has the
-    linked components as its nodes is searched, then all nodes are renamed."""
-    known = comp.union(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
-    between = more.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    to = components(settle(between, "links")).toDF("comp", "to")
-    return settle(known.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+    linked components as its nodes is searched, then all nodes are renamed.
+    A node that comp lacks is a component of its own."""
+    held = small(comp)
+    named = more.join(held.toDF("a", "x"), "a", "left").join(held.toDF("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    to = components(settle(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links"))
+    ends = more.select(F.explode(F.array("a", "b")).alias("node"))
+    known = comp.union(ends.join(held, "node", "left_anti").distinct().select("node", F.col("node").alias("comp")))
+    return settle(known.join(small(to.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -223,24 +246,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     led = buckets.select("key", F.col("node").alias("a"), F.col("size").alias("size_a")).join(lead, "key")
     to = F.explode(F.array_distinct(F.array(F.struct("l.node", "l.size"), F.struct("r.node", "r.size")))).alias("to")
     pairs = close(led.select("a", "size_a", to).select("a", "size_a", F.col("to.node").alias("b"), F.col("to.size").alias("size_b")).where("a <> b"))
-    tried = settle(pairs, "pairs")
-    edges = settle(_compare(tried, shingles, similarity), "edges")
-    comp = components(edges)
+    edges = settle(_compare(settle(pairs, "pairs"), shingles, similarity), "edges")
+    linked = small(components(edges))
+    comp = settle(shingles.select("node").join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
     for turn in itertools.count(1):
-        placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        placed = placed.join(mixed, "key")
+        placed = buckets.join(small(comp), "node")
         salts = range(DRAWS * turn, DRAWS * (turn + 1))
         by = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t), "key").alias("o"), F.col("node"), F.col("size"), F.col("comp")))
         each = placed.groupBy("key", "comp").agg(*[by(t).alias(f"q{t}") for t in salts])
-        first = each.groupBy("key").agg(*[F.min(f"q{t}").alias(f"p{t}") for t in salts])
+        # buckets of one component need no more
+        first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *[F.min(f"q{t}").alias(f"p{t}") for t in salts]).where("x <> y")
         drawn = F.explode(F.array(*[F.struct(F.col(f"q{t}").alias("q"), F.col(f"p{t}").alias("p")) for t in salts])).alias("d")
         new = each.join(first, "key").select("comp", drawn).where("comp <> d.p.comp").select(F.col("d.q.node").alias("a"), F.col("d.q.size").alias("size_a"), F.col("d.p.node").alias("b"), F.col("d.p.size").alias("size_b"))
-        new = settle(close(new).join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = settle(close(new), "pairs")
         if new.isEmpty():
             break
         more = settle(_compare(new, shingles, similarity), "edges")
-        tried = tried.union(new)
         if more.isEmpty():
             break
         edges = edges.union(more)
