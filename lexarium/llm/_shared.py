@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+SMALL = 4 << 20  # bytes on disk up to which a table is broadcast or read by one task
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,7 +69,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df, to be broadcast if the files it is read from hold at most `most`
     bytes; a larger one is joined by a shuffle."""
     return F.broadcast(df) if estimated_bytes(df) <= most else df

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import estimated_bytes, settle, ship, small, table
+from lexarium.llm._shared import SMALL, estimated_bytes, settle, ship, small, table
 from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_ranges, mix, window_at, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -149,7 +149,7 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
+    return small(pairs).join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def _union(batches):
@@ -169,7 +169,7 @@ def _union(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([top(int(x)) for x in nodes], pa.int64())], ["node", "comp"])
 
 
-def components(edges: DataFrame, most: int = 4 << 20) -> DataFrame:
+def components(edges: DataFrame, most: int = SMALL) -> DataFrame:
     """node, comp: the least node each node is linked with, directly or not.
     edges (a, b) has each pair once. If the files that edges is read from hold
     at most `most` bytes, one task joins them; of more, labels go to neighbours
@@ -194,7 +194,10 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
     A node that comp lacks is a component of its own."""
     held = small(comp)
     named = more.join(held.toDF("a", "x"), "a", "left").join(held.toDF("b", "y"), "b", "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    to = components(settle(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links"))
+    between = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # few links take one task, and repeated ones do no harm there
+    between = between.coalesce(1) if estimated_bytes(more) <= SMALL else between.distinct()
+    to = components(settle(between, "links"))
     ends = more.select(F.explode(F.array("a", "b")).alias("node"))
     known = comp.union(ends.join(held, "node", "left_anti").distinct().select("node", F.col("node").alias("comp")))
     return settle(known.join(small(to.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
