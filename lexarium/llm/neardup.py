@@ -20,8 +20,12 @@ class is paired with two leaders only, the first in an order of all classes and
 the first in the bucket's own order, so pairs grow with the buckets' rows, not
 with their square. Pairs are compared over all their shingles (as 32-bit hashes)
 and classes linked at SIMILARITY or more are joined into components. Buckets
-whose members lie in several components go another round: DRAWS members of each
-component are paired with ones of another, until a round makes no new link.
+whose members still lie in several components are then compared whole: all
+pairs of different components that their sizes allow. Buckets of up to FEW
+members are joined with themselves. The members of a larger one are dealt to
+levels of size, wide enough that two classes at SIMILARITY are in one level or
+in neighbouring ones, and by hash to blocks of about BLOCK; each two blocks are
+one task's matrix product of shared regions, so no pair becomes a row.
 
 Null and empty texts, and texts without words, are near nothing but themselves:
 each such row is its own class. Equal (doc_id, text) rows share a class. Rows
@@ -31,7 +35,7 @@ with a null doc_id are classed like others, under the least id of their class
 
 from __future__ import annotations
 
-import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,7 @@ from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
-DRAWS = 8  # members drawn from each component of a bucket in a round
+FEW, BLOCK = 8, 256  # members of a bucket that is joined with itself, and of a block of a larger one
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,6 +156,67 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return small(pairs).join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def shared_regions(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """len(a) x len(b) counts of the values that two arrays of distinct values share."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)  # exact up to 2**24
+
+    def places(of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, value = np.repeat(np.arange(len(of)), [len(x) for x in of]), np.concatenate(of)
+        at = np.minimum(np.searchsorted(both, value), len(both) - 1)
+        found = both[at] == value
+        row, at = row[found], at[found]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    if not len(both):
+        return out.astype(np.int64)
+    sides = [(len(a), *places(a)), (len(b), *places(b))]
+    for low in range(0, len(both), step):
+        held = []
+        for n, row, at in sides:
+            x, y = np.searchsorted(at, [low, low + step])
+            m = np.zeros((n, min(step, len(both) - low)), np.float32)
+            m[row[x:y], at[x:y] - low] = 1
+            held.append(m)
+        out += held[0] @ held[1].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(members: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) at the similarity or more in different components, of all
+    members (key, node, size, comp) of each bucket."""
+    level = F.floor(F.log(F.col("size")) / math.log(1.0001 / similarity)).cast("int")
+    members = members.withColumn("level", level)
+    count = members.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # the blocks of the own level and of both neighbours
+    near = count.select("key", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("level"), "blocks").alias("other"))
+    near = near.groupBy("key", "level").agg(F.collect_list("other").alias("others"))  # three at most
+    own = members.join(count, ["key", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.join(near, ["key", "level"]).withColumn("other", F.explode("others"))
+    own = own.select("key", "node", "comp", "level", "block", F.col("other.level").alias("level2"), F.explode(F.sequence(F.lit(0), F.col("other.blocks") - 1)).alias("block2"))
+    one, two = F.struct("level", "block"), F.struct(F.col("level2").alias("level"), F.col("block2").alias("block"))
+    own = own.select("key", "node", "comp", F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), (one <= two).alias("first"))
+
+    def run(group: pa.Table) -> pa.Table:
+        node, comp, first = (group.column(c).to_numpy() for c in ("node", "comp", "first"))
+        bodies = [np.frombuffer(x.as_buffer(), "<u4") for x in group.column("body")]
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        within = group.column("x")[0] == group.column("y")[0]
+        b = a if within else b
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = shared_regions([bodies[i] for i in a], [bodies[i] for i in b])
+        size = np.array([len(x) for x in bodies])
+        close = (both >= similarity * (size[a][:, None] + size[b] - both)) & (comp[a][:, None] != comp[b])
+        i, j = np.nonzero(close)
+        i, j = node[a[i]], node[b[j]]
+        return pa.table({"a": pa.array(np.minimum(i, j)), "b": pa.array(np.maximum(i, j))})
+
+    own = own.join(shingles, "node")
+    return own.groupBy("key", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _union(batches):
     """node, comp of all edges of one task, by union and find."""
     up: dict[int, int] = {}
@@ -252,21 +317,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = settle(_compare(settle(pairs, "pairs"), shingles, similarity), "edges")
     linked = small(components(edges))
     comp = settle(shingles.select("node").join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "labels")
-    for turn in itertools.count(1):
-        placed = buckets.join(small(comp), "node")
-        salts = range(DRAWS * turn, DRAWS * (turn + 1))
-        by = lambda t: F.min(F.struct(F.xxhash64("node", F.lit(t), "key").alias("o"), F.col("node"), F.col("size"), F.col("comp")))
-        each = placed.groupBy("key", "comp").agg(*[by(t).alias(f"q{t}") for t in salts])
-        # buckets of one component need no more
-        first = each.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *[F.min(f"q{t}").alias(f"p{t}") for t in salts]).where("x <> y")
-        drawn = F.explode(F.array(*[F.struct(F.col(f"q{t}").alias("q"), F.col(f"p{t}").alias("p")) for t in salts])).alias("d")
-        new = each.join(first, "key").select("comp", drawn).where("comp <> d.p.comp").select(F.col("d.q.node").alias("a"), F.col("d.q.size").alias("size_a"), F.col("d.p.node").alias("b"), F.col("d.p.size").alias("size_b"))
-        new = settle(close(new), "pairs")
-        if new.isEmpty():
-            break
-        more = settle(_compare(new, shingles, similarity), "edges")
-        if more.isEmpty():
-            break
+    placed = buckets.join(small(comp), "node")
+    # buckets of one component need no more
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "m")
+    placed = settle(placed.join(mixed, "key"), "mixed")
+    few, many = placed.where(F.col("m") <= FEW), placed.where(F.col("m") > FEW)
+    side = lambda name: few.select("key", F.col("node").alias(name), F.col("size").alias(f"size_{name}"), F.col("comp").alias(f"comp_{name}"))
+    bound = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    new = settle(side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & bound).select("a", "b").distinct(), "pairs")
+    more = settle(_compare(new, shingles, similarity).union(_compare_blocks(many, shingles, similarity)).distinct(), "edges")
+    if not more.isEmpty():
         edges = edges.union(more)
         comp = merged(comp, more)
 

@@ -160,3 +160,21 @@ def test_components_merged_in_two_steps(spark):
         for a, b in pairs:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_near_duplicates_in_large_buckets(documents):
+    """Thousands of texts of one template, all below the similarity, and close pairs among them."""
+    n, base = 2500, prose(60, 30)
+    own = lambda name, s, k: " ".join(f"{name}{s}x{i}" for i in range(k))
+    texts = [f"{own('a', s, 5)} {base} {own('b', s, 5)}" for s in range(n)]
+    pairs = {n + i: 601 * i + 7 for i in range(4)}
+    texts += [f"{texts[i]} {own('c', j, 15)}" for j, i in pairs.items()]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(documents(texts)).collect()}
+    assert got == {i: i for i in range(n)} | pairs
+
+
+def test_shared_regions():
+    r = random.Random(3)
+    sides = [[sorted(r.sample(range(90), r.randint(0, 60))) for _ in range(n)] for n in (7, 5)]
+    got = neardup.shared_regions(*[[neardup.np.array(x, "<u4") for x in s] for s in sides], step=16)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
