@@ -22,11 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that of the least doc_id, one row of it."""
-    classes = neardup.near_duplicates(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    left = docs.join(keep, docs.doc_id.eqNullSafe(keep.kept), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    """One row of each class: one of the least doc_id. Rows without words stay."""
+    return neardup.first_of_classes(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,9 +134,9 @@ def _signatures(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(size)])
                 node = mix((run[0, edge[1:]] - run[0, edge[:-1]]) ^ mix(run[1, edge[1:]] - run[1, edge[:-1]] + size.astype(np.uint64)))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(node.astype(np.int64)), pa.array(size, pa.int64()), flat], ["doc_id", "node", "size", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(node.astype(np.int64)), pa.array(size, pa.int64()), flat], ["doc_id", "tag", "node", "size", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, size bigint, keys array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, tag binary, node bigint, size bigint, keys array<bigint>")
 
 
 def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -268,12 +268,10 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
     return settle(known.join(small(to.toDF("comp", "to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each document: doc_id, class_id (the least doc_id of its
-    component), class_size (documents), n_links (compared links of its text)."""
-    spark = df.sparkSession
-    ship(spark)
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row for each row of docs (doc_id, text, tag): doc_id, tag, comp (a node
+    of its component, null without words), class_id, class_size, n_links."""
+    ship(docs.sparkSession)
     signed = settle(_signatures(docs, bands, rows, k), "signatures")
     worded = signed.where("size > 0")
     classes = settle(worded.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
@@ -333,12 +331,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = edges.union(edges.select("b", "a")).toDF("node", "o").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of = classes.select("node", "low", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(links, "node", "left")
     whole = of.groupBy("comp").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    of = of.join(whole, "comp").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.where("size > 0").select("doc_id", "node").join(of, "node").select("doc_id", "class_id", "class_size", "n_links")
-    alone = signed.where("size = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
+    of = of.join(whole, "comp").select("node", "comp", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.where("size > 0").select("doc_id", "tag", "node").join(of, "node").select("doc_id", "tag", "comp", "class_id", "class_size", "n_links")
+    alone = signed.where("size = 0").select("doc_id", "tag", F.lit(None).cast("bigint").alias("comp"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return out.union(alone)
 
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """A row for each document: doc_id, class_id (the least doc_id of its
+    component), class_size (documents), n_links (compared links of its text)."""
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("tag"))
+    return _classes(docs, similarity, k, bands, rows).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def first_of_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of df for each class: one of its least id (null ids last, ties by
+    the text's digest). Rows are told apart by id and text, whatever ids repeat;
+    rows without words all stay."""
+    tag = F.unhex(F.md5(F.col(text_col).cast("binary")))
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), tag.alias("tag"))
+    classed = _classes(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = classed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("r")).select("r.doc_id", "r.tag", F.lit(False))
+    alone = classed.where("comp IS NULL").select("doc_id", "tag", F.lit(True)).distinct()
+    kept = first.union(alone).toDF("__id", "__own", "__alone")
+    named = df.withColumn("__tag", tag)
+    left = named.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__tag").eqNullSafe(F.col("__own")))
+    # equal rows are one, if they have words
+    nth = F.when(F.col("__alone"), F.monotonically_increasing_id())
+    return left.withColumn("__nth", nth).dropDuplicates([id_col, "__tag", "__nth"]).select(*df.columns)
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate classes."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from lexarium.llm import registry
 
@@ -17,3 +19,17 @@ def test_stages_in_order(spark):
 
 def test_registry():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark, documents):
+    r = random.Random(8)
+    a, b, c, d, e = ("".join(r.choice("abcdefgh ") for _ in range(600)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a + " x"), (7, c), (7, d), (7, c), (8, d + " y"), (None, e), (9, e + " z"), (5, None), (5, ""), (None, None), (None, "!"), (None, "!")]
+    docs = documents([t for _, t in rows], [i for i, _ in rows])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    of_a = [x for x in got if x in (rows[0], rows[2])]
+    assert len(of_a) == 1
+    want = [*of_a, (None, b), (7, c), (7, d), (9, e + " z"), *rows[9:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
