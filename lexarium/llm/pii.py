@@ -7,7 +7,10 @@ format by a Feistel network whose round function is a keyed SHA-256, so equal
 values get equal pseudonyms in all documents, other values other ones, and
 separators, letter case, length, check digits and calendar stay valid:
 
-* cards: all digits but the last, which becomes the Luhn digit of the others
+* cards: all digits but the last, which becomes the Luhn digit of the others; a
+  run of groups of digits that is no card as a whole is searched for cards of
+  13 to 19 digits that begin and end with groups (usual groupings first), and
+  its rest for the other kinds
 * dates: the day within its 400 years (146097 = 189 x 773 days, a Feistel
   network over the two residues); `a/b/yyyy` is read month first if a <= 12
 * social security numbers: over the valid ones (898 areas x 99 x 9999)
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 
 from lexarium.llm._shared import table
 
+#: Digits of a run of cards: not of a word, an address, a date or a number with a point.
+_GROUP = r"[0-9]++(?![A-Za-z_@]|\.[0-9]|/[0-9]{1,2}/[0-9]{4}|-[0-9]++[A-Za-z_]|[._%+-][A-Za-z0-9._%+-]{0,63}@)"
+#: A date or a social security number ends the run.
+_NEXT = r"(?!(?<!-)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z_]|[./-][0-9]))"
 #: One alternative a kind; the first that matches wins.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
@@ -36,8 +43,11 @@ PATTERNS = {
     "date": r"(?<![0-9A-Za-z_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z_]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z_.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z_+])(?:\+[0-9]{1,3}[^0-9A-Za-z_\n(]{1,6})?(?:\([0-9]{3}\)[^0-9A-Za-z_\n]{0,6}|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z_]|-[0-9])|(?<![0-9A-Za-z_])\+[0-9]{8,15}(?![0-9A-Za-z_])",
-    "card": r"(?<![0-9A-Za-z_.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z_]|[.-][0-9])",
+    "card": r"(?<![0-9A-Za-z_.])(?=[0-9](?:[ -]?[0-9]){12})" + _GROUP + "(?:[ -]" + _NEXT + _GROUP + r")*+(?!-[0-9])",
 }
+#: Usual groupings of a card's digits, which are taken before others.
+GROUPED = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})[ -]?$"
+_DIGITS, _HELD = "0123456789", "".join(chr(0xE000 + i) for i in range(10))
 ROUNDS = 8
 
 
@@ -98,9 +108,40 @@ def _mod97(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (t, x) -> (t * if({v} > 9, 100, 10) + {v}) % 97)"
 
 
-def _card(key: str) -> str:
+def _card(key: str, m: str = "m") -> str:
+    """SQL: m with its digits permuted, whatever their Luhn sum was."""
     fresh = _let(_string(key, "card", "substr(d, 1, length(d) - 1)", 10), "b", f"concat(b, cast(pmod(10 - {_luhn('b', 1)} % 10, 10) as string))")
-    return _let("regexp_replace(m, '[^0-9]', '')", "d", f"if({_luhn('d', 0)} % 10 = 0, {_let(fresh, 'e', _merge('m', 'e'))}, m)")
+    return _let(m, "m", _let("regexp_replace(m, '[^0-9]', '')", "d", _let(fresh, "e", _merge("m", "e"))))
+
+
+def _is_card(d: str) -> str:
+    return f"(length({d}) between 13 and 19 and {_luhn(d, 0)} % 10 = 0)"
+
+
+def _run(key: str) -> str:
+    """SQL: struct (v, found, changed) of a run m that is no card as a whole. Its
+    groups are g, and h the counts of groups of the cards that begin at each; u has
+    the largest of usual grouping, w of any. From left to right the usual ones are
+    taken, and others if no usual one begins inside. Their digits are held back as
+    other characters while the rest is searched."""
+    joined = lambda at, n: f"array_join(slice(g, {at}, {n}), '')"
+    valid = _let(f"regexp_replace({joined('i', 'n')}, '[^0-9]', '')", "d", _is_card("d"))
+    held = f"transform(sequence(1, size(g)), i -> filter(sequence(1, least(19, size(g) - i + 1)), n -> {valid}))"
+    usual = f"transform(h, (l, i) -> coalesce(array_max(filter(l, n -> {joined('i + 1', 'n')} rlike {_q(GROUPED)})), 0))"
+    taken = "if(i < s.next, 0, if(u[i - 1] > 0, u[i - 1], if(w[i - 1] > 0 and not exists(slice(u, i + 1, w[i - 1] - 1), y -> y > 0), w[i - 1], 0)))"
+    step = _let(taken, "n", "if(n = 0, s, named_struct('next', i + n, 'c', concat(s.c, array(named_struct('at', i, 'n', n)))))")
+    cards = f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'c', cast(array() as array<struct<at: int, n: int>>)), (s, i) -> {step}, s -> s.c)"
+    after = lambda k: f"if({k} < 0, 1, c[greatest({k}, 0)].at + c[greatest({k}, 0)].n)"
+    one = f"concat({_let(after('k - 1'), 'o', joined('o', 'q.at - o'))}, translate({_card(key, joined('q.at', 'q.n'))}, '{_DIGITS}', '{_HELD}'))"
+    tail = _let("if(size(c) = 0, 1, element_at(c, -1).at + element_at(c, -1).n)", "o", joined("o", "size(g)"))
+    text = f"concat(array_join(transform(c, (q, k) -> {one}), ''), {tail})"
+    others = [k for k in PATTERNS if k != "card"]
+    pattern = _q("|".join(PATTERNS[k] for k in others))
+    new = f"transform(regexp_extract_all(t, {pattern}, 0), m -> named_struct('m', m, 'v', {_kinds(key, others, 'm')}))"
+    rest = f"array_join(zip_with(split(t, {pattern}, -1), r, (a, b) -> concat(a, coalesce(b.v, ''))), '')"
+    out = f"named_struct('v', translate({rest}, '{_HELD}', '{_DIGITS}'), 'found', greatest(if(length(m) < 13, 0, 1), size(c) + size(r)), 'changed', size(c) + size(filter(r, x -> x.m <> x.v)))"
+    out = _let(cards, "c", _let(text, "t", _let(new, "r", out)))
+    return _let("regexp_extract_all(m, '[0-9]+[ -]?', 0)", "g", _let(held, "h", _let(usual, "u", _let("transform(h, l -> coalesce(array_max(l), 0))", "w", out))))
 
 
 def _ip(key: str) -> str:
@@ -156,10 +197,19 @@ def _iban(key: str) -> str:
 _PERMUTE = {"email": _email, "hex": _hex, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
-def _value_sql(key: str) -> str:
+def _kinds(key: str, kinds: list[str], other: str) -> str:
     """SQL of the pseudonym of m; a kind is told by matching all of m."""
-    whole = {k: "^(?:" + p + ")$" for k, p in PATTERNS.items()}
-    return "case " + " ".join(f"when m rlike {_q(whole[k])} then {f(key)}" for k, f in _PERMUTE.items()) + " else m end"
+    return "case " + " ".join(f"when m rlike {_q('^(?:' + PATTERNS[k] + ')$')} then {_PERMUTE[k](key)}" for k in kinds) + f" else {other} end"
+
+
+def _value_sql(key: str) -> str:
+    """SQL: struct (v, found, changed) of a candidate m: its pseudonym, the
+    candidates in it, and how many of them were permuted."""
+    whole = _let("regexp_replace(m, '[^0-9]', '')", "d", _is_card("d"))
+    kinds = [k for k in PATTERNS if k != "card"]
+    digits = f"m rlike '^[0-9][0-9 -]*$' and not m rlike {_q('^(?:' + '|'.join(PATTERNS[k] for k in kinds) + ')$')}"
+    plain = _let(f"if({digits}, {_card(key)}, {_kinds(key, kinds, 'm')})", "v", "named_struct('v', v, 'found', 1, 'changed', if(m <> v, 1, 0))")
+    return f"if({digits} and not {whole}, {_run(key)}, {plain})"
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "lexarium") -> DataFrame:
@@ -170,9 +220,9 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "lexarium") -
     t = f"`{text_col}`"
     hits = f"if({t} rlike '[0-9@]', regexp_extract_all({t}, {pattern}, 0), cast(array() as array<string>))"
     out = df.withColumn("__hits", F.expr(hits)).withColumn("__new", F.expr(f"transform(__hits, m -> {_value_sql(key)})"))
-    rest = f"zip_with(split({t}, {pattern}, -1), __new, (a, b) -> concat(a, coalesce(b, '')))"
-    out = out.withColumn("pii_found", F.expr(f"if({t} is null, 0, size(__hits))").cast("bigint"))
-    out = out.withColumn("pii_changed", F.expr(f"if({t} is null, 0, size(filter(zip_with(__hits, __new, (a, b) -> a <> b), x -> x)))").cast("bigint"))
+    rest = f"zip_with(split({t}, {pattern}, -1), __new, (a, b) -> concat(a, coalesce(b.v, '')))"
+    total = lambda name: F.expr(f"if({t} is null, 0, aggregate(__new, 0, (s, x) -> s + x.{name}))").cast("bigint")
+    out = out.withColumn("pii_found", total("found")).withColumn("pii_changed", total("changed"))
     return out.withColumn(text_col, F.expr(f"if(size(__hits) > 0, array_join({rest}, ''), {t})")).drop("__hits", "__new")
 
 

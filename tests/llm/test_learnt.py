@@ -147,6 +147,21 @@ def test_pseudonyms(documents):
     assert pii.pseudonymise(documents([])).count() == 0
 
 
+def test_cards_beside_other_numbers(documents):
+    card, other = "4111 1111 1111 1111", "5500 0000 0000 0004"
+    around = ["{}", "{} 12/25", "order 12 {}", "12 34 {}", "{} 12 25 34 5", "no 7 {} 12th", "{} 12/25/2024", "{}-12"]
+    texts = [a.format(card) for a in around] + [f"{card} {other}", f"{card} 12 {other} 3", f"{card} 555-123-4567", f"{card} 9 2024-01-05 123-45-6789 x", "12345678-1234-1234-1234-123456789abc", "mail 4111 1111 1111 1111 12.ab@example.com", other, "555-123-4567", "2024-01-05", "123-45-6789", "12.ab@example.com"]
+    rows = {r.doc_id: r for r in pii.pseudonymise(documents(texts)).collect()}
+    new = [rows[i].text for i in range(len(texts))]
+    mine, its, phone, day, ssn, mail = new[0], *new[14:]
+    assert mine != card and luhn(mine.replace(" ", "")) and its != other
+    want = [a.format(mine) for a in around]
+    want[6] = f"{mine} {new[6][20:]}"
+    assert new[:8] == want and new[6][20:] != "12/25/2024"
+    assert new[8:14] == [f"{mine} {its}", f"{mine} 12 {its} 3", f"{mine} {phone}", f"{mine} 9 {day} {ssn} x", texts[12], f"mail {mine} {mail}"]
+    assert [rows[i].pii_changed for i in (0, 1, 6, 8, 9, 10, 11, 12, 13)] == [1, 1, 2, 2, 2, 2, 3, 0, 2]
+
+
 def test_nearest_recall(spark):
     rows = quantisation.op9_quantisation(spark, SF).collect()
     data = table(spark, SF, "embeddings").collect()
