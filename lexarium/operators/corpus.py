@@ -49,10 +49,11 @@ def complete(df: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFram
     return df.join(one, key, "left").withColumn(value, F.coalesce(value, "__v")).drop("__v")
 
 
-def shortlist(left: DataFrame, right: DataFrame, id_col: str, text: Column, n: int = 3, most: int = 20, common: int = 1000) -> DataFrame:
+def shortlist(left: DataFrame, right: DataFrame, id_col: str, text: Column, n: int = 3, most: int = 20, parts: int = 16) -> DataFrame:
     """a, b, overlap: for each row of left the rows of right with most n-grams
-    of words in common, ties to the least id. n-grams of more than `common`
-    rows of right tell nothing and are left out."""
+    of words in common, ties to the least id. Rows of right that hold the same of
+    left's n-grams are one group, which is counted once and hands on its first
+    ids; each n-gram's rows are dealt to `parts` parts."""
 
     def grams(d: DataFrame, name: str) -> DataFrame:
         d = d.select(F.col(id_col).alias(name), F.filter(F.split(text, " "), lambda x: x != "").alias("w"))
@@ -60,8 +61,19 @@ def shortlist(left: DataFrame, right: DataFrame, id_col: str, text: Column, n: i
         some = F.when(F.size(w) < n, w).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
         return d.select(name, F.explode(F.array_distinct(F.when(F.size(w) > 0, some))).alias("g"))
 
-    b = grams(right, "b")
-    rare = b.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= common).select("g")
-    pairs = grams(left, "a").join(b.join(rare, "g"), "g").groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"))
+    part = lambda name: F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    a = grams(left, "a")
+    known = grams(right, "b").select("*", part("b")).join(a.select("g").distinct().select("g", every), ["g", "part"], "left_semi")
+    sets = known.groupBy("b").agg(F.sort_array(F.collect_list("g")).alias("gs"))  # a row's own n-grams
+    sets = sets.withColumn("set", F.md5(F.to_json(F.struct("gs")).cast("binary")))
+    first = Window.partitionBy("set").orderBy("b")
+    members = sets.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
+    groups = members.where("nth = 1").select("set", F.col("b").alias("low"), F.explode("gs").alias("g")).select("*", part("set"))
+    pairs = a.select("a", "g", every).join(groups, ["g", "part"]).groupBy("a", "set", "low").agg(F.count(F.lit(1)).alias("overlap"))
+    # a group after `most` others has none of the first rows
+    best = Window.partitionBy("a").orderBy(F.desc("overlap"), "low")
+    pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank", "low")
     order = Window.partitionBy("a").orderBy(F.desc("overlap"), "b")
+    pairs = pairs.join(members.select("set", "b"), "set").select("a", "b", "overlap")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
