@@ -21,17 +21,33 @@ def coupling_top_edges(spark, d):
     return G.backbone(_coupling(spark, d), 3).select("src", "dst", F.round("weight", 8).alias("weight"), "rank")
 
 
-def cocitation_edges(spark, d):
-    """References cited often enough, linked by the papers that cite both."""
+def _often(refs, least):
+    return refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def _cocitation(spark, d, least):
     refs = references(spark, d).distinct()
-    often = refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n >= 35").select("ref")
-    kept = refs.join(often, "ref")
+    kept = refs.join(_often(refs, least).select("ref"), "ref")
     e = G.salton(G.pair_counts(kept, "ref", "doc"), G.degrees(kept, "ref", "doc"))
     return e.select("src", "dst", "count", F.round("weight", 8).alias("weight"))
 
 
+def cocitation_edges(spark, d):
+    """References cited often enough, linked by the papers that cite both."""
+    return _cocitation(spark, d, 35)
+
+
+def cocitation_edges_all(spark, d):
+    """The same of all references cited twice or more, the reference's default."""
+    return _cocitation(spark, d, 2)
+
+
 def frequent_references(spark, d):
-    return references(spark, d).distinct().groupBy("ref").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
+    return _often(references(spark, d).distinct(), 30)
+
+
+def frequent_references_all(spark, d):
+    return _often(references(spark, d).distinct(), 2)
 
 
 def coupling_strengths(spark, d):
@@ -99,7 +115,7 @@ def coupling_communities(spark, d):
     return G.label_propagation(e, 5)
 
 
-QUERIES = {f.__name__: f for f in (coupling_edges, coupling_top_edges, cocitation_edges, frequent_references, coupling_strengths, collab_counts, collab_salton, collab_association, collab_backbone, collab_block_means, collab_enrichment, collab_modularity, internal_support, collab_pagerank, coupling_communities)}
+QUERIES = {f.__name__: f for f in (coupling_edges, coupling_top_edges, cocitation_edges, cocitation_edges_all, frequent_references, frequent_references_all, coupling_strengths, collab_counts, collab_salton, collab_association, collab_backbone, collab_block_means, collab_enrichment, collab_modularity, internal_support, collab_pagerank, coupling_communities)}
 
 _COUPLING = f"""WITH {REFS}, sz AS (SELECT doc, count(*) AS s FROM refs GROUP BY doc),
 e AS (SELECT a.doc AS src, b.doc AS dst, count(*) AS count FROM refs a JOIN refs b ON a.ref = b.ref AND a.doc < b.doc GROUP BY ALL),
@@ -121,6 +137,10 @@ SELECT src, dst, round(weight, 8) AS weight, rank FROM r WHERE rank <= 3 AND src
 sz AS (SELECT ref, count(*) AS s FROM k GROUP BY ref), e AS (SELECT a.ref AS src, b.ref AS dst, count(*) AS count FROM k a JOIN k b ON a.doc = b.doc AND a.ref < b.ref GROUP BY ALL)
 SELECT src, dst, count, round(count / sqrt(CAST(x.s AS DOUBLE) * y.s), 8) AS weight FROM e JOIN sz x ON x.ref = src JOIN sz y ON y.ref = dst""",
     "frequent_references": f"WITH {REFS} SELECT ref, count(*) AS n FROM refs GROUP BY ref HAVING count(*) >= 30",
+    "cocitation_edges_all": f"""WITH {REFS}, f AS (SELECT ref FROM refs GROUP BY ref HAVING count(*) >= 2), k AS (SELECT doc, ref FROM refs WHERE ref IN (SELECT ref FROM f)),
+sz AS (SELECT ref, count(*) AS s FROM k GROUP BY ref), e AS (SELECT a.ref AS src, b.ref AS dst, count(*) AS count FROM k a JOIN k b ON a.doc = b.doc AND a.ref < b.ref GROUP BY ALL)
+SELECT src, dst, count, round(count / sqrt(CAST(x.s AS DOUBLE) * y.s), 8) AS weight FROM e JOIN sz x ON x.ref = src JOIN sz y ON y.ref = dst""",
+    "frequent_references_all": f"WITH {REFS} SELECT ref, count(*) AS n FROM refs GROUP BY ref HAVING count(*) >= 2",
     "coupling_strengths": _COUPLING + ", bw AS (SELECT src, weight FROM w UNION ALL SELECT dst, weight FROM w) SELECT src AS node, round(sum(weight), 6) AS strength, count(*) AS degree FROM bw GROUP BY src",
     "collab_counts": _COLLAB + " SELECT src, dst, count FROM e",
     "collab_salton": _COLLAB + " SELECT src, dst, round(weight, 8) AS weight FROM w",
