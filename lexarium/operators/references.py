@@ -79,3 +79,35 @@ def column_cosines(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     dot = lambda a, b: F.col(f"`{a}*{b}`")
     rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(dot(a, a) * dot(b, b) > 0, dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))).alias("cosine")) for a, b in pairs if a != b]
     return sums.select(F.inline(F.array(*rows)))
+
+
+def vector_cosines(df: DataFrame, vec: str) -> DataFrame:
+    """a, b, cosine of every two places (t0, t1, ...) of a column of vectors; a
+    task hands on one product of all places with all."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((0, 0))
+        for batch in batches:
+            rows = [r for r in batch.column(0).to_pylist() if r]
+            if not rows:
+                continue
+            x = np.zeros((len(rows), max(map(len, rows))))
+            for i, r in enumerate(rows):
+                x[i, : len(r)] = [v or 0.0 for v in r]
+            more = x.T @ x
+            n = max(len(total), len(more))
+            both = np.zeros((n, n))
+            both[: len(total), : len(total)] += total
+            both[: len(more), : len(more)] += more
+            total = both
+        i, j = np.triu_indices(len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j], pa.float64())], ["i", "j", "s"])
+
+    dots = df.select(F.col(vec).cast("array<double>")).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = dots.where("i = j")
+    out = dots.where("i < j").join(own.select("i", F.col("s").alias("p")), "i").join(own.select("j", F.col("s").alias("q")), "j")
+    name = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    return out.select(name("i").alias("a"), name("j").alias("b"), F.when(F.col("p") * F.col("q") > 0, F.col("s") / F.sqrt(F.col("p") * F.col("q"))).alias("cosine"))

@@ -54,7 +54,12 @@ def topic_similarity(spark, d):
     return out.withColumn("cosine", F.round("cosine", 8))
 
 
-QUERIES = {f.__name__: f for f in (shared_references, resolved_references, dedup_records, unique_aliases, document_types, group_profiles, topic_similarity)}
+def topic_similarity_all(spark, d):
+    """The same of all columns of the vectors."""
+    return R.vector_cosines(table(spark, d, "embeddings"), "embedding").withColumn("cosine", F.round("cosine", 8))
+
+
+QUERIES = {f.__name__: f for f in (shared_references, resolved_references, dedup_records, unique_aliases, document_types, group_profiles, topic_similarity, topic_similarity_all)}
 
 _TOK = """tok AS (SELECT l_orderkey AS doc, l_linenumber AS pos, l_partkey AS part, CASE l_linenumber % 3 WHEN 0 THEN 'https://openalex.org/W' || l_partkey
 WHEN 1 THEN 'Roe J, 2020, DOI 10.1000/AB.' || l_partkey ELSE 'Doe ' || l_partkey END AS token FROM lineitem)"""
@@ -70,5 +75,7 @@ r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id)
     "document_types": "SELECT coalesce(o_orderpriority, 'UNKNOWN') AS kind, count(*) AS n FROM orders GROUP BY ALL",
     "group_profiles": "SELECT o_orderpriority, count(*) AS n, CAST(floor(quantile_cont(year(o_orderdate), 0.5)) AS INT) AS median_year, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year FROM orders GROUP BY ALL",
     "topic_similarity": f"""WITH x AS (SELECT vec_id, unnest(range(1, {TOPICS + 1})) AS i, unnest(CAST(embedding[1:{TOPICS}] AS DOUBLE[])) AS v FROM embeddings)
+SELECT 't' || (a.i - 1) AS a, 't' || (b.i - 1) AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 8) AS cosine FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL""",
+    "topic_similarity_all": """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)
 SELECT 't' || (a.i - 1) AS a, 't' || (b.i - 1) AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 8) AS cosine FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL""",
 }

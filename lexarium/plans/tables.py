@@ -101,6 +101,15 @@ def community_topic_crosstab(spark, d):
     return p.groupBy("year").pivot("topic", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).agg(F.count(F.lit(1))).na.fill(0).toDF("year", "urgent", "high", "medium")
 
 
+def community_topic_crosstab_all(spark, d):
+    """The same of all topics: a row for each year and topic, 0 where there is none."""
+    p = papers(spark, d)
+    cells = p.select("year").distinct().crossJoin(F.broadcast(p.select("topic").distinct()))  # topics
+    n = p.groupBy("year", "topic").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("c.year").eqNullSafe(F.col("n.year")) & F.col("c.topic").eqNullSafe(F.col("n.topic"))
+    return cells.alias("c").join(n.alias("n"), same, "left").select("c.year", "c.topic", F.coalesce(F.col("n.n"), F.lit(0)).alias("n"))
+
+
 def votes(spark, d):
     """Three reviewers' votes (1 to 5, the last may be missing) for each user's
     events: final scores, whether the next round sees them, inclusion."""
@@ -110,7 +119,7 @@ def votes(spark, d):
     return e.select("event_id", V.final_score(F.col("v")).alias("majority"), F.round(V.final_score(F.col("v"), "mean"), 6).alias("mean"), V.escalates(F.col("v")).alias("escalates"), V.escalates(F.col("v"), "mean").alias("escalates_mean"), V.included(F.col("v")).alias("included"))
 
 
-QUERIES = {f.__name__: f for f in (rank_actors, collab_summary, actor_modal_segment, percentile_average_rank, composite_three_axes, reading_list, model_distance, topic_year_dense, topic_trajectory, median_year_low, median_docs_per_year, topic_entropy, topic_sizes, topic_citations, centroid_cosine, extract_documents, community_topic_crosstab, votes)}
+QUERIES = {f.__name__: f for f in (rank_actors, collab_summary, actor_modal_segment, percentile_average_rank, composite_three_axes, reading_list, model_distance, topic_year_dense, topic_trajectory, median_year_low, median_docs_per_year, topic_entropy, topic_sizes, topic_citations, centroid_cosine, extract_documents, community_topic_crosstab, community_topic_crosstab_all, votes)}
 
 
 def _pct(value: str) -> str:
@@ -146,6 +155,8 @@ SELECT topic, count(*) AS n, round(sum(cited), 2) AS total, round(avg(cited), 2)
 SELECT vec_id, round(sum(CAST(x AS DOUBLE) * c) / sqrt(sum(CAST(x AS DOUBLE) * x) * sum(c * c)), 6) AS cosine FROM e JOIN c ON c.label = e.label AND c.i = e.i GROUP BY vec_id""",
     "extract_documents": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, o_orderpriority FROM orders WHERE year(o_orderdate) >= 1998 AND o_totalprice >= 1000 AND o_orderpriority IN ('1-URGENT', '3-MEDIUM')",
     "community_topic_crosstab": f"WITH {PAPERS} SELECT year, count(*) FILTER (topic = '1-URGENT') AS urgent, count(*) FILTER (topic = '2-HIGH') AS high, count(*) FILTER (topic = '3-MEDIUM') AS medium FROM papers GROUP BY year",
+    "community_topic_crosstab_all": f"""WITH {PAPERS}, t AS (SELECT DISTINCT topic FROM papers), y AS (SELECT DISTINCT year FROM papers), n AS (SELECT year, topic, count(*) AS n FROM papers GROUP BY ALL)
+SELECT y.year, t.topic, coalesce(n, 0) AS n FROM y CROSS JOIN t LEFT JOIN n ON n.year IS NOT DISTINCT FROM y.year AND n.topic IS NOT DISTINCT FROM t.topic""",
     "votes": """WITH e AS (SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS a, CAST(user_id % 5 + 1 AS INT) AS b, CASE WHEN event_id % 2 = 0 THEN CAST(length(event_type) % 5 + 1 AS INT) END AS c FROM events),
 l AS (SELECT *, list_filter([a, b, c], lambda x: x IS NOT NULL) AS v FROM e),
 m AS (SELECT *, list_median(v) AS md, list_avg(v) AS av, len(list_filter(v, lambda x: x > 3)) AS up, len(list_filter(v, lambda x: x < 3)) AS down, len(list_filter(v, lambda x: x = 3)) AS mid FROM l),
