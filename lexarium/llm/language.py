@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexarium.llm._shared import ship, table
@@ -167,19 +167,18 @@ class ByteGru:
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> ByteGru | None:
-    """The network, from rows where `usable` holds; None if there are none. At
-    most FIT_LANGS languages, the most frequent ones, are learnt."""
+    """The network, from rows where `usable` holds; None if there are none. All
+    labels are learnt, beyond FIT_LANGS of them from fewer documents each."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(FIT_LANGS).collect())
+    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())  # labels
     if not langs:
         return None
     # a window of the text is enough to learn from: its place follows from the id
     h = F.xxhash64(id_col)
     place = F.pmod(h, F.greatest(F.lit(1), F.length(text_col) - 4 * SPAN)).cast("int") + 1
-    some = None
-    for lang in langs:  # FIT_LANGS at most
-        own = rows.where(F.col(lang_col) == lang).select(lang_col, F.substring(F.col(text_col), place, F.lit(4 * SPAN)).alias("t"), h.alias("h")).orderBy("h", "t").limit(fit_docs)
-        some = own if some is None else some.union(own)
+    share = min(fit_docs, max(1, FIT_LANGS * fit_docs // len(langs)))
+    some = rows.select(lang_col, F.substring(F.col(text_col), place, F.lit(4 * SPAN)).alias("t"), h.alias("h"))
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy(lang_col).orderBy("h", "t"))).where(F.col("nth") <= share).drop("nth")
     windows, labels = [], []
     for lang, text, _ in sorted(some.collect()):
         raw = np.frombuffer(text.encode(), np.uint8)

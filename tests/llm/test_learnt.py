@@ -48,6 +48,12 @@ def test_language_odd_texts(documents):
     assert language.predict(documents([]), None).count() == 0
 
 
+def test_all_labels_are_learnt(documents):
+    langs = [f"l{i:03}" for i in range(70)]
+    docs = documents([f"words of {x}" for x in langs], langs=langs)
+    assert language.train(docs, docs.doc_id.isNotNull()).langs == langs
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(4)
     for _ in range(200):
