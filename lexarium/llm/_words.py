@@ -1,13 +1,16 @@
 """Words of many texts at once, as numpy arrays over the texts' UTF-8 bytes.
 
-A batch of texts is one byte array with offsets. Words are byte ranges, their
-hashes differences of a running polynomial sum modulo 2**64, and so are the
-hashes of windows of words: the cost is a few passes over the bytes, whatever
-the width of a window.
+A batch of texts is one byte array with offsets. Words are byte ranges, hashed
+eight bytes at a time; the hashes of windows of words are differences of a
+running polynomial sum modulo 2**64: the cost is a few passes over the words,
+whatever the width of a window. Two hashes of one window are independent if
+their words were hashed with different seeds.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,9 +54,9 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES = _Powers(11)
 _WORDS = {0: _Powers(23), 1: _Powers(37)}
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 256  # bytes of a word that is hashed by itself
 
 _code = np.arange(256)
 #: Bytes of words: all but white space (space, tab to carriage return).
@@ -110,19 +113,46 @@ def find_words(data: np.ndarray, offs: np.ndarray, of_word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def hasher(data: np.ndarray, fold: np.ndarray | None = None):
+class Words:
+    """Eight bytes at a time from any place of a byte array (zeros after its end)."""
+
+    def __init__(self, data: np.ndarray, fold: np.ndarray | None = None):
+        held = np.zeros((len(data) + 31) // 8 * 8, np.uint8)
+        held[: len(data)] = data if fold is None else fold[data]
+        self.raw, self.whole = held, held.view("<u8")
+
+    def load(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The n (0 to 8) bytes at `at`, as integers."""
+        i, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        # a shift by 64 in two steps, as one is not defined
+        x = self.whole[i] >> shift | (self.whole[i + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        return x & _MASKS[n]
+
+
+def hasher(data: np.ndarray, fold: np.ndarray | None = None, seed: int = 0):
     """A function of starts and ends that gives 64-bit hashes of byte ranges;
-    fold maps bytes before."""
-    up, down = _BYTES.get(len(data) + 1)
-    run = np.empty(len(data) + 1, np.uint64)
-    run[0] = 0
-    values = _VALUE if fold is None else _VALUE[fold]
-    np.cumsum(values[data] * up[: len(data)], out=run[1:])
-    return lambda starts, ends: mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    fold maps bytes before. A hash chains the finaliser over blocks of eight
+    bytes, so no inputs collide for every seed."""
+    words, first = Words(data, fold), np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & M64)
+
+    def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        h = mix(mix(size.astype(np.uint64) ^ first) ^ words.load(starts, np.clip(size, 0, 8)))
+        more, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+        while len(more):
+            h[more] = mix(h[more] * first ^ words.load(starts[more] + k, np.minimum(size[more] - k, 8)))
+            k += 8
+            more = more[size[more] > k]
+        for i in np.flatnonzero(size > _LONG).tolist():
+            own = hashlib.blake2b(words.raw[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+            h[i] = int.from_bytes(own.digest(), "little")
+        return h
+
+    return of
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
-    return hasher(data, fold)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
+    return hasher(data, fold, seed)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def windows(h: np.ndarray, doc: np.ndarray, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +168,7 @@ def _running(h: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = _WORDS[which].get(len(h) + 1)
     run = np.empty(len(h) + 1, np.uint64)
     run[0] = 0
-    np.cumsum((mix(h ^ np.uint64(which * 0x5851F42D4C957F2D)) if which else h) * up[: len(h)], out=run[1:])
+    np.cumsum(h * up[: len(h)], out=run[1:])
     return run, down
 
 
@@ -150,11 +180,11 @@ def window_at(h: np.ndarray, at: np.ndarray, lengths, which: int = 0) -> np.ndar
     return mix((run[at + lengths] - run[at]) * down[at] + np.asarray(lengths).astype(np.uint64))
 
 
-def hashed_words(data: np.ndarray, offs: np.ndarray, of_word: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(data: np.ndarray, offs: np.ndarray, of_word: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word of a whole batch, chunk by chunk."""
     hs, ds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, _, part, o in chunks(data, offs):
         s, e, d = find_words(part, o, of_word)
-        hs.append(hash_ranges(part, s, e, fold))
+        hs.append(hash_ranges(part, s, e, fold, seed))
         ds.append(d + a)
     return np.concatenate(hs), np.concatenate(ds)

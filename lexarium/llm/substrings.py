@@ -3,8 +3,9 @@
 A repeat of 50 words holds, wherever it starts, one whole block of 25 words
 whose place in its document is a multiple of 25. So the index takes only such
 non-overlapping blocks; each rolling window of 25 words is a probe. Hits are
-extended: the windows of 50 words around them are compared by 128-bit hashes,
-and runs of windows that repeat are the maximal exact repeats.
+extended: the windows of 50 words around them are compared by 128 bits (two
+independent hashes of 64 over words that are hashed twice, too), and runs of
+windows that repeat are the maximal exact repeats.
 
 Documents are dealt into buckets by a hash of doc_id. A bucket hashes its words
 as arrays, joins its own documents by itself, and sends each distinct window
@@ -99,7 +100,8 @@ class Bucket:
         back links, and the least doc_id of each in this bucket."""
         at = np.flatnonzero(cand)
         both = np.empty(len(at), [("a", "<u8"), ("b", "<u8")])
-        both["a"], both["b"] = window_at(self.h, at, self.k, 0), window_at(self.h, at, self.k, 1)
+        again, _ = hashed_words(self.data, self.offs, NOT_SPACE, seed=1) if len(at) else (self.h, None)
+        both["a"], both["b"] = window_at(self.h, at, self.k, 0), window_at(again, at, self.k, 1)
         order = np.lexsort((both["b"], both["a"]))
         new = np.ones(len(at), bool)
         new[1:] = both[order][1:] != both[order][:-1]
