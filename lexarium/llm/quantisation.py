@@ -3,16 +3,18 @@
 A vector is coded as the sum of one codeword from each of several codebooks,
 all of full dimension. The codebooks are fitted in turn to residuals (k-means
 on at most FIT vectors, the first in the order of a hash of their id). Encoding
-is a beam search: the best BEAM sums so far are widened by every codeword of
-the next book. Beside a code stands the norm of the sum, so that distances, too,
+is a beam search: the best BEAM sums so far are widened by every codeword of the
+next book. Beside a code stands the norm of the sum, so that distances, too,
 come from tables.
 
-A search looks up a query's inner products with all codewords in one table,
-adds them along each code, keeps the best RERANK vectors of each block (all
-whose score ties with the last), and scores these with the original vectors in
-double precision. Every vector is indexed. Blocks of codes and vectors lie in
-files in the shared folder; a task holds one block of queries and one block of
-the index at a time, and hands on only its k best rows a query.
+A search looks up a query's inner products with all codewords in one table and
+adds them along each code. The best candidates over the whole index, RERANK of
+them or one vector in RERANK_SHARE if that is more (ties to the smaller id), are
+scored again with the original vectors in double precision. Every vector is
+indexed. Codes and vectors lie in files of their own in the shared folder: a
+task reads all codes once for up to QUERIES queries, one block at a time, and
+those blocks of vectors that hold candidates. So the work is that of queries
+times codes: the method scans all codes, it has no coarse partition.
 
 Vectors that are null, zero, of another dimension than the most frequent one
 (least, if tied), or hold null or non-finite components take no part, nor do
@@ -23,6 +25,7 @@ rows of its own id. An empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 import io
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +34,30 @@ from pyspark.sql import functions as F
 
 from lexarium.llm._shared import fresh, open_shared, publish, settle, ship, table
 
-BOOKS, WORDS, BEAM = 8, 64, 8
-FIT = 8192
-BLOCK = 8192  # vectors of an index block
-QUERIES = 256  # of a task
-RERANK = 400
+BOOKS, WORDS, BEAM = 16, 128, 8
+FIT = 16384
+BLOCK = 16384  # vectors of an index block
+QUERIES = 2048  # of a task
+RERANK, RERANK_SHARE = 128, 40
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of each of n groups."""
+    out = np.zeros((n, rows.shape[1]))
+    order = np.argsort(of, kind="stable")
+    seen, first = np.unique(of[order], return_index=True)
+    if len(seen):
+        out[seen] = np.add.reduceat(rows[order], first, 0)
+    return out
 
 
 class AdditiveQuantiser:
     def __init__(self, books: np.ndarray):
-        self.books = books  # books x words x dimension
-        flat = books.reshape(-1, books.shape[2])
-        self.cross = flat @ flat.T  # inner products of codewords
+        self.books = books.astype(np.float32)  # books x words x dimension
 
     @classmethod
-    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps: int = 12, seed: int = 7) -> AdditiveQuantiser:
+    def fit(cls, x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps: int = 8, seed: int = 7) -> AdditiveQuantiser:
+        """Codebooks by k-means on residuals, one after the other."""
         rng, rest, out = np.random.default_rng(seed), x.astype(np.float64).copy(), []
         words = max(1, min(words, len(x)))
         for _ in range(books):
@@ -53,45 +65,40 @@ class AdditiveQuantiser:
             for _ in range(steps):
                 near = np.argmin((c * c).sum(1) - 2 * rest @ c.T, 1)
                 n = np.bincount(near, minlength=words)
-                total = np.zeros_like(c)
-                np.add.at(total, near, rest)
-                c[n > 0] = total[n > 0] / n[n > 0, None]
+                c[n > 0] = _sums(rest, near, words)[n > 0] / n[n > 0, None]
             out.append(c)
             rest -= c[np.argmin((c * c).sum(1) - 2 * rest @ c.T, 1)]
         return cls(np.stack(out))
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n x books) and squared norms of their sums."""
-        books, words, _ = self.books.shape
-        n = len(x)
-        with_x = x @ self.books.reshape(books * words, -1).T  # inner products
-        codes, error, norm = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1)), np.zeros((n, 1))
-        for b in range(books):
-            own = np.diag(self.cross)[b * words : (b + 1) * words]
-            grown = np.broadcast_to(own, (n, codes.shape[1], words)).copy()
-            for p in range(b):
-                grown += 2 * self.cross[codes[:, :, p] + p * words, b * words : (b + 1) * words]
-            err = error[:, :, None] + grown - 2 * with_x[:, None, b * words : (b + 1) * words]
-            flat = err.reshape(n, -1)
+        books, words, d = self.books.shape
+        n, x = len(x), x.astype(np.float32)
+        codes, rest = np.zeros((n, 1, 0), np.uint16), x[:, None, :]
+        at = np.arange(n)[:, None]
+        for book in self.books:
+            flat = (rest.reshape(-1, d) @ (-2 * book.T)).reshape(n, -1, words)
+            flat += np.einsum("nkd,nkd->nk", rest, rest)[:, :, None] + np.einsum("wd,wd->w", book, book)
+            flat = flat.reshape(n, -1)
             keep = min(beam, flat.shape[1])
             best = np.argpartition(flat, keep - 1, 1)[:, :keep]
             row, word = best // words, best % words
-            at = np.arange(n)[:, None]
-            error, norm = flat[at, best], norm[at, row] + grown[at, row, word]
-            codes = np.concatenate([codes[at, row], word[:, :, None]], 2)
-        first = np.argmin(error, 1)
-        at = np.arange(n)
-        return codes[at, first].astype(np.uint8 if words <= 256 else np.uint16), norm[at, first]
+            rest = rest[at, row] - book[word]
+            codes = np.concatenate([codes[at, row], word[:, :, None].astype(np.uint16)], 2)
+        first = np.argmin(np.einsum("nkd,nkd->nk", rest, rest), 1)
+        codes = codes[at[:, 0], first]
+        made = x - rest[at[:, 0], first]
+        return codes.astype(np.uint8 if words <= 256 else np.uint16), (made.astype(np.float64) ** 2).sum(1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        return np.einsum("qd,bwd->qbw", q, self.books)
+        return np.einsum("qd,bwd->qbw", q.astype(np.float32), self.books)
 
 
 def scores(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Inner products, by look-up: queries x vectors."""
     out = np.zeros((len(tables), len(codes)), np.float32)
     for b in range(codes.shape[1]):
-        out += tables[:, b].astype(np.float32)[:, codes[:, b]]
+        out += tables[:, b, :].take(codes[:, b], 1)
     return out
 
 
@@ -108,16 +115,28 @@ def _matrix(col, d: int) -> np.ndarray:
     return np.asarray(col.flatten()).astype(np.float64).reshape(-1, d)
 
 
-def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", books: int = BOOKS, words: int = WORDS, fit: int = FIT) -> tuple[list[str], int]:
-    """Writes the blocks into the shared folder; their paths and the dimension."""
+class Index(NamedTuple):
+    """Files path/PART-BLOCK.codes and .rows in the shared folder: the number of
+    blocks of each part, vectors in all, dimension, codebooks."""
+
+    path: str
+    blocks: np.ndarray
+    n: int
+    d: int
+    books: np.ndarray | None
+
+
+def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", books: int = BOOKS, words: int = WORDS, fit: int = FIT, block: int = BLOCK) -> Index:
+    """Writes codes and vectors of all usable rows into the shared folder."""
     spark = df.sparkSession
     ship(spark)
     rows, d = _usable(df, id_col, vec_col)
+    path = fresh(spark, "index")
     if not d:
-        return [], 0
+        return Index(path, np.zeros(0, np.int32), 0, 0, None)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit).collect()  # a bounded fit
-    sent = spark.sparkContext.broadcast(AdditiveQuantiser.fit(np.array([r.vec for r in sample]), books, words).books)
-    path = fresh(spark, "index")
+    made = AdditiveQuantiser.fit(np.array([r.vec for r in sample]), books, words).books
+    sent = spark.sparkContext.broadcast(made)
 
     def run(batches):
         from pyspark import TaskContext
@@ -128,67 +147,113 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         def flush():
             ids, x = (np.concatenate(c) for c in zip(*held))
             done = [quantiser.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]
-            out, to = io.BytesIO(), f"{path}/{part:06d}-{seq:06d}.npz"
-            np.savez(out, ids=ids, x=x, codes=np.concatenate([c for c, _ in done]), norms=np.concatenate([n for _, n in done]), books=sent.value)
-            publish(to, out.getvalue())
-            return pa.RecordBatch.from_pydict({"path": [to], "n": pa.array([len(ids)], pa.int64())})
+            for kind, what in (("codes", {"ids": ids, "codes": np.concatenate([c for c, _ in done]), "norms": np.concatenate([n for _, n in done])}), ("rows", {"x": x})):
+                out = io.BytesIO()
+                np.savez(out, **what)
+                publish(f"{path}/{part:06d}-{seq:06d}.{kind}", out.getvalue())
 
+        n = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, BLOCK):
-                some = batch.slice(i, BLOCK)
+            for i in range(0, batch.num_rows, block):
+                some = batch.slice(i, block)
                 held.append((np.asarray(some.column(0)), _matrix(some.column(1), d)))
-                size += some.num_rows
-                if size >= BLOCK:
-                    yield flush()
+                size, n = size + some.num_rows, n + some.num_rows
+                if size >= block:
+                    flush()
                     seq, held, size = seq + 1, [], 0
         if held:
-            yield flush()
-
-    made = settle(rows.mapInArrow(run, "path string, n bigint"), "blocks")
-    return [r.path for r in made.orderBy("path").collect()], d  # one row a block
-
-
-def search(queries: DataFrame, blocks: list[str], d: int, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
-    """For each query its k nearest by inner product: query_id, rank, vec_id,
-    score (exact, on the original vectors); ties go to the smaller vec_id."""
+            flush()
+            seq += 1
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blocks": pa.array([seq], pa.int32()), "n": pa.array([n], pa.int64())})
+
+    # one row of three numbers for each task that wrote
+    found = settle(rows.mapInArrow(run, "part int, blocks int, n bigint"), "blocks").where("blocks > 0").collect()
+    blocks = np.zeros(max((r.part + 1 for r in found), default=0), np.int32)
+    for r in found:
+        blocks[r.part] = r.blocks
+    return Index(path, blocks, sum(r.n for r in found), d, made)
+
+
+class _Best:
+    """The `most` best candidates of each query: by score, then the least id."""
+
+    def __init__(self, queries: int, most: int):
+        self.most, self.low = most, np.full(queries, -np.inf, np.float32)
+        none = np.zeros(0, np.int64)
+        self.held = [(np.zeros(0, np.float32), none, none, none)] * queries  # score, id, block, row
+
+    def add(self, first: int, approx: np.ndarray, ids: np.ndarray, block: int, qid: np.ndarray) -> None:
+        for j in range(len(approx)):
+            own = first + j
+            at = np.flatnonzero(approx[j] >= self.low[own])
+            at = at[ids[at] != qid[own]]
+            if not len(at):
+                continue
+            s, who, blocks, rows = (np.concatenate(x) for x in zip(self.held[own], (approx[j, at], ids[at], np.full(len(at), block), at)))
+            if len(s) > self.most:
+                keep = np.lexsort((who, -s))[: self.most]
+                s, who, blocks, rows = s[keep], who[keep], blocks[keep], rows[keep]
+                self.low[own] = s[-1]
+            self.held[own] = s, who, blocks, rows
+
+
+def search(queries: DataFrame, index: Index, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int | None = None, measure: str = "inner") -> DataFrame:
+    """For each query its k nearest: query_id, rank, vec_id, score (exact, on the
+    original vectors); ties go to the smaller vec_id. measure: `inner` product
+    or `distance` (score: minus the squared distance, by the stored norms)."""
     spark = queries.sparkSession
     ship(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if not blocks:
+    if not index.n:
         return spark.createDataFrame([], schema)
+    if measure not in ("inner", "distance"):
+        raise ValueError(measure)
+    most = max(k, rerank or max(RERANK, -(-index.n // RERANK_SHARE)))
     rows, _ = _usable(queries, id_col, vec_col)
-    rows = rows.where(F.size("vec") == d)
-    n = max(1, -(-rows.count() // QUERIES))
-    rows = rows.repartition(n, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    rows = rows.where(F.size("vec") == index.d)
+    count = rows.count()
+    n = max(1, -(-count // QUERIES), min(spark.sparkContext.defaultParallelism, count // 64))
+    rows = rows.repartition(n)
+    sent, path, d = spark.sparkContext.broadcast((index.blocks, index.books)), index.path, index.d  # 4 bytes a part, codebooks
+
+    def load(name: str):
+        with open_shared(f"{path}/{name}", "rb") as f:
+            return np.load(io.BytesIO(f.read()))
+
+    def answer(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        blocks, books = sent.value
+        names = [f"{p:06d}-{i:06d}" for p, m in enumerate(blocks.tolist()) for i in range(m)]
+        tables, best = AdditiveQuantiser(books).tables(q), _Best(len(q), most)
+        for b, name in enumerate(names):
+            file = load(f"{name}.codes")
+            ids, codes, norms = file["ids"], file["codes"], file["norms"].astype(np.float32)
+            for i in range(0, len(q), 128):
+                approx = scores(tables[i : i + 128], codes)
+                best.add(i, 2 * approx - norms if measure == "distance" else approx, ids, b, qid)
+        # the original vectors of the candidates, block by block
+        who = np.concatenate([x[1] for x in best.held])
+        of = np.repeat(np.arange(len(q)), [len(x[1]) for x in best.held])
+        block, row = (np.concatenate([x[c] for x in best.held]) for c in (2, 3))
+        exact, order = np.zeros(len(who)), np.argsort(block, kind="stable")
+        edge = np.searchsorted(block[order], np.arange(len(names) + 1))
+        for b, name in enumerate(names):
+            own = order[edge[b] : edge[b + 1]]
+            x = load(f"{name}.rows")["x"] if len(own) else None
+            for i in range(0, len(own), 1 << 14):
+                some = own[i : i + (1 << 14)]
+                a, c = x[row[some]], q[of[some]]
+                exact[some] = (a * c).sum(1) if measure == "inner" else -((a - c) ** 2).sum(1)
+        order = np.lexsort((who, -exact, of))
+        nth = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        order, nth = order[nth < k], nth[nth < k]
+        return pa.RecordBatch.from_arrays([pa.array(qid[of[order]], pa.int64()), pa.array(nth + 1, pa.int32()), pa.array(who[order], pa.int64()), pa.array(exact[order], pa.float64())], ["query_id", "rank", "vec_id", "score"])
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, QUERIES):
-                some = batch.slice(i, QUERIES)
-                qid, q = np.asarray(some.column(0)), _matrix(some.column(1), d)
-                best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(qid)
-                tables = None
-                for path in blocks:
-                    with open_shared(path, "rb") as f:
-                        block = np.load(io.BytesIO(f.read()))
-                    if tables is None:
-                        tables = AdditiveQuantiser(block["books"]).tables(q)
-                    ids, x, approx = block["ids"], block["x"], scores(tables, block["codes"])
-                    keep = min(rerank + 1, len(ids))
-                    low = np.partition(approx, len(ids) - keep, 1)[:, len(ids) - keep]
-                    for j in range(len(qid)):
-                        at = np.flatnonzero(approx[j] >= low[j])
-                        at = at[ids[at] != qid[j]]
-                        who, exact = np.append(best[j][0], ids[at]), np.append(best[j][1], (x[at] * q[j]).sum(1))
-                        first = np.lexsort((who, -exact))[:k]
-                        best[j] = who[first], exact[first]
-                sizes = [len(w) for w, _ in best]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(qid, sizes), pa.int64()),
-                    pa.array(np.concatenate([np.arange(1, s + 1) for s in sizes]), pa.int32()),
-                    pa.array(np.concatenate([w for w, _ in best]), pa.int64()),
-                    pa.array(np.concatenate([s for _, s in best]), pa.float64()),
-                ], ["query_id", "rank", "vec_id", "score"])
+        held = [(np.asarray(b.column(0)), _matrix(b.column(1), d)) for b in batches if b.num_rows]  # QUERIES a task, about
+        if held:
+            qid, q = (np.concatenate(c) for c in zip(*held))
+            for i in range(0, len(q), QUERIES):
+                yield answer(qid[i : i + QUERIES], q[i : i + QUERIES])
 
     return rows.mapInArrow(run, schema)
 
@@ -196,4 +261,4 @@ def search(queries: DataFrame, blocks: list[str], d: int, k: int = 20, id_col: s
 def op9_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
-    return search(vectors.where(F.col("vec_id") % 20 == 0), *build_index(vectors))
+    return search(vectors.where(F.col("vec_id") % 20 == 0), build_index(vectors))
