@@ -33,10 +33,12 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, else (in tests, on
-    one machine) a temporary one that is set here."""
+    one machine) a temporary one that is set here. A cluster has to name one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = getattr(sc, "_lexarium_dir", None)
         if not named:
             named = "file://" + tempfile.mkdtemp(prefix="lexarium-")
@@ -75,6 +77,17 @@ def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= most else df
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of (in any letter case)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

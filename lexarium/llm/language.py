@@ -3,16 +3,17 @@
 Two gated recurrent units read a text's bytes, one from each end; the states at
 a position give the probabilities of the languages there, and a document's are
 the mean over all its positions. The network is trained here, in numpy, by
-backpropagation through time, on windows of at most FIT_DOCS labelled
-documents (the first by a hash of their id, the same share of each language).
-Reading is by windows of SPAN bytes, side by side, so that one step of the
-recurrence is one matrix product for thousands of windows; each position of the
-whole text is in one window.
+backpropagation through time, on at most FIT_WINDOWS windows of each language:
+the first by a hash of text and place among all windows of all labelled whole
+texts, equal texts once. Reading is by windows of SPAN bytes, side by side, so
+that one step of the recurrence is one matrix product for thousands of windows;
+each position of the whole text is in one window, and states start anew there.
 
 Texts that are null or have no letter are `und` with score 0; so are all texts
 if nothing is learnt. Ties go to the first language in order. Null ids, labels
 and repeated rows are allowed (a null label teaches nothing); an empty table
-gives no rows; columns other than id, text and label are not read.
+gives no rows; columns other than id, text and label are not read, but for
+result columns' names, which the result takes over. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexarium.llm._shared import ship, table
-from lexarium.llm._words import buffers
+from lexarium.llm._shared import ship, spare, table
+from lexarium.llm._words import buffers, mix
 
-FIT_DOCS = 600  # of each language
-FIT_LANGS = 64
+FIT_WINDOWS = 2400  # of each language
+FIT_LANGS = 64  # beyond, languages share FIT_LANGS * FIT_WINDOWS windows
 SPAN, HIDDEN, STEPS, BATCH = 64, 8, 220, 192
 UND = "und"
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _gate(x: np.ndarray) -> np.ndarray:
@@ -58,15 +61,18 @@ class ByteGru:
         w["bias"] = np.zeros(len(langs))
         return cls({k: v.astype(np.float32) for k, v in w.items()}, langs)
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
+    def _run(self, x: np.ndarray, d: str, keep: bool, live: np.ndarray | None = None):
         """States at each position (time x windows x H) of windows x (time x
-        windows) of bytes, and what backpropagation needs."""
+        windows) of bytes, and what backpropagation needs. live: how many of the
+        windows, the first ones, reach each position (None: all)."""
         emb, u, v = (self.w[k + d] for k in ("emb", "u", "v"))
         hidden = len(u)
         h, kept = np.zeros((x.shape[1], hidden), np.float32), []
-        states = np.empty((len(x), x.shape[1], hidden), np.float32)
+        states = np.zeros((len(x), x.shape[1], hidden), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            e = emb[x[t]]
+            n = x.shape[1] if live is None else int(live[t])
+            whole, h = h, h[:n]
+            e = emb[x[t, :n]]
             gates = h @ u
             gates += e[:, : 2 * hidden]
             gates = _gate(gates)
@@ -77,13 +83,16 @@ class ByteGru:
             if keep:
                 kept.append((t, h, r, z, c))
             h = c + z * (h - c)
-            states[t] = h
+            states[t, :n] = h
+            if n < len(whole):
+                whole[:n] = h
+                h = whole
         return states, kept
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
         """time x windows x languages."""
-        logits = self._run(x, "f", False)[0] @ self.w["out"][: len(self.w["vf"])]
-        logits += self._run(x, "b", False)[0] @ self.w["out"][len(self.w["vf"]) :]
+        logits = self._run(x, "f", False, live)[0] @ self.w["out"][: len(self.w["vf"])]
+        logits += self._run(x, "b", False, live)[0] @ self.w["out"][len(self.w["vf"]) :]
         logits += self.w["bias"]
         logits -= logits.max(2, keepdims=True)
         np.exp(logits, out=logits)
@@ -149,16 +158,15 @@ class ByteGru:
         length = np.minimum(span, offs[1:][of] - first)
         out = np.zeros((len(size), len(self.langs)))
         steps = np.arange(span)[:, None]
-        # windows of like length side by side: few positions are filling
+        # the longest first, so those that reach a position stand together
         order = np.argsort(-length, kind="stable")
         for i in range(0, len(order), side):
             own = order[i : i + side]
             longest = int(length[own[0]])
             at = steps[:longest]
             inside = at < length[own]
-            # filling repeats the window's last byte and counts nothing
             x = data[first[own] + np.minimum(at, length[own] - 1)]
-            p = self.probabilities(x)
+            p = self.probabilities(x, inside.sum(1))
             p *= inside[:, :, None]
             total = p.sum(0)
             for j in range(total.shape[1]):
@@ -166,43 +174,61 @@ class ByteGru:
         return out / np.maximum(size, 1)[:, None]
 
 
-def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> ByteGru | None:
+def _sampled(rows: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """lang, u, piece: windows of whole texts whose hash u lies below the rate of
+    their language. Equal texts give the same windows, which count once."""
+    sent = rows.sparkSession.sparkContext.broadcast(rates)
+
+    def run(batches):
+        for batch in batches:
+            data, offs = buffers(batch.column(1))
+            h = np.asarray(batch.column(2)).astype(np.int64).view(np.uint64)
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                raw, rate = data[offs[i] : offs[i + 1]], sent.value.get(lang, 0.0)
+                n = -(-len(raw) // SPAN)
+                u = mix(np.arange(1, n + 1, dtype=np.uint64) * _GOLD ^ h[i]) >> np.uint64(1)
+                at = np.flatnonzero(u < rate * 2.0**63)
+                if len(at):
+                    pieces = [raw[x : x + SPAN].tobytes() for x in (at * SPAN).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(u[at].astype(np.int64)), pa.array(pieces, pa.binary())], ["lang", "u", "piece"])
+
+    some = rows.mapInArrow(run, "lang string, u bigint, piece binary")
+    return some.groupBy("lang", "u").agg(F.min("piece").alias("piece"))
+
+
+def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_windows: int = FIT_WINDOWS) -> ByteGru | None:
     """The network, from rows where `usable` holds; None if there are none. All
-    labels are learnt, beyond FIT_LANGS of them from fewer documents each."""
+    labels are learnt, beyond FIT_LANGS of them from fewer windows each."""
+    spark = docs.sparkSession
+    ship(spark)
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs = sorted(r[0] for r in rows.select(lang_col).distinct().collect())  # labels
-    if not langs:
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    # one pass counts, one samples, whatever the number of labels
+    count = rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / F.lit(SPAN))).alias("n")).where("n > 0").collect()
+    if not count:
         return None
-    # a window of the text is enough to learn from: its place follows from the id
-    h = F.xxhash64(id_col)
-    place = F.pmod(h, F.greatest(F.lit(1), F.length(text_col) - 4 * SPAN)).cast("int") + 1
-    share = min(fit_docs, max(1, FIT_LANGS * fit_docs // len(langs)))
-    some = rows.select(lang_col, F.substring(F.col(text_col), place, F.lit(4 * SPAN)).alias("t"), h.alias("h"))
-    some = some.withColumn("nth", F.row_number().over(Window.partitionBy(lang_col).orderBy("h", "t"))).where(F.col("nth") <= share).drop("nth")
-    windows, labels = [], []
-    for lang, text, _ in sorted(some.collect()):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for i in range(0, max(1, len(raw) - SPAN // 2), SPAN):
-            piece = raw[i : i + SPAN]
-            if len(piece):
-                windows.append(np.resize(piece, SPAN))
-                labels.append(langs.index(lang))
-    keep = sorted(set(labels))
-    labels = np.searchsorted(keep, labels)
-    return ByteGru.fit(np.stack(windows), labels, [langs[i] for i in keep]) if windows else None
-
-
-def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (the pooled probability of it)."""
+    share = min(fit_windows, max(1, FIT_LANGS * fit_windows // len(count)))
+    rates = {r.lang: min(1.0, 4.0 * (share + 8) / r.n) for r in count}
+    some = _sampled(rows.select("lang", "text", F.xxhash64("text").alias("h")), rates)
+    some = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("nth") <= share)
+    found = sorted((r.lang, r.u, bytes(r.piece)) for r in some.collect())  # fit_windows of each label
+    langs = sorted({x for x, *_ in found})
+    windows = [np.resize(np.frombuffer(p, np.uint8), SPAN) for *_, p in found]
+    return ByteGru.fit(np.stack(windows), np.array([langs.index(x) for x, *_ in found]), langs) if found else None
+
+
+def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with two more columns: the language and the pooled probability of
+    it. Columns of docs that have these names are replaced."""
     spark = docs.sparkSession
     ship(spark)
+    docs = docs.drop(*names)
     if net is None:
-        return docs.withColumn("lang_pred", F.lit(UND)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(names[0], F.lit(UND)).withColumn(names[1], F.lit(0.0))
     sent = spark.sparkContext.broadcast((net.w, net.langs))  # a few kB
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("__letters", letters)
+    rows = docs.withColumn(spare(docs, "letters")[0], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     place = docs.columns.index(text_col)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
         own = ByteGru(*sent.value)
@@ -214,7 +240,7 @@ def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text") -> Dat
                 best = p.argmax(1)
                 lang = pa.array([own.langs[j] if k else UND for j, k in zip(best.tolist(), ok.tolist())], pa.string())
                 score = pa.array(np.where(ok, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lang, score], names=[*some.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lang, score], names=[*some.schema.names[:-1], *names])
 
     return rows.mapInArrow(run, schema)
 
