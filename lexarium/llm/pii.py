@@ -14,21 +14,32 @@ separators, letter case, length, check digits and calendar stay valid:
 * dates: the day within its 400 years (146097 = 189 x 773 days, a Feistel
   network over the two residues); `a/b/yyyy` is read month first if a <= 12
 * social security numbers: over the valid ones (898 areas x 99 x 9999)
-* IPv4 addresses: over 2**32; phone numbers: the digits after the country code
-* e-mail addresses: letters and digits of the part before the @
+* IPv4 addresses: over 2**32
+* phone numbers (ten digits in the usual grouping, or 8 to 15 after a plus whose
+  country code does not begin with 0): the digits after the country code
+* e-mail addresses: letters and digits of the part before the @, and those of
+  the domain but for its last label, by themselves, so one domain stays one
 * long hexadecimal secrets (32 to 64 digits): over base 16
 * accounts: the digits after the check digits, which are computed anew
 
-What fails validation stays as it is. Null texts stay null, empty ones empty;
-other columns are handed on; rows are treated one by one, whatever repeats.
+What fails validation stays as it is. Null texts stay null, empty ones empty,
+long ones are searched whole; other columns are handed on, but for those that
+have the names of the two counts, which are replaced; rows are treated one by
+one, whatever repeats; an empty table gives no rows.
+
+Whoever has the key can invert the permutation, so there is no default: the
+queries take it from the session's `spark.lexarium.pii.key`, or draw one for
+the application, whose pseudonyms then link documents of that run only.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import table
+from lexarium.llm._shared import spare, table
 
 #: Digits of a run of cards: not of a word, an address, a date or a number with a point.
 _GROUP = r"[0-9]++(?![A-Za-z_@]|\.[0-9]|/[0-9]{1,2}/[0-9]{4}|-[0-9]++[A-Za-z_]|[._%+-][A-Za-z0-9._%+-]{0,63}@)"
@@ -42,7 +53,7 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z_./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z_]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z_.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z_+])(?:\+[0-9]{1,3}[^0-9A-Za-z_\n(]{1,6})?(?:\([0-9]{3}\)[^0-9A-Za-z_\n]{0,6}|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z_]|-[0-9])|(?<![0-9A-Za-z_])\+[0-9]{8,15}(?![0-9A-Za-z_])",
+    "phone": r"(?<![0-9A-Za-z_+])(?:\+[1-9][0-9]{0,2}[^0-9A-Za-z_\n(]{1,6})?(?:\([0-9]{3}\)[^0-9A-Za-z_\n]{0,6}|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z_]|-[0-9])|(?<![0-9A-Za-z_])\+[1-9][0-9]{7,14}(?![0-9A-Za-z_])",
     "card": r"(?<![0-9A-Za-z_.])(?=[0-9](?:[ -]?[0-9]){12})" + _GROUP + "(?:[ -]" + _NEXT + _GROUP + r")*+(?!-[0-9])",
 }
 #: Usual groupings of a card's digits, which are taken before others.
@@ -178,10 +189,13 @@ def _phone(key: str) -> str:
 
 
 def _email(key: str) -> str:
-    letters = _string(key, "email", "lower(regexp_replace(u, '[^A-Za-z]', ''))", 26)
-    digits = _string(key, "email", "regexp_replace(u, '[^0-9]', '')", 10)
-    local = _let(letters, "l", _let(digits, "e", _merge("u", "e", "l")))
-    return _let("substring_index(m, '@', 1)", "u", f"concat({local}, substr(m, length(u) + 1))")
+    def part(tag: str, of: str) -> str:
+        letters = _string(key, tag, "lower(regexp_replace(u, '[^A-Za-z]', ''))", 26)
+        digits = _string(key, tag, "regexp_replace(u, '[^0-9]', '')", 10)
+        return _let(of, "u", _let(letters, "l", _let(digits, "e", _merge("u", "e", "l"))))
+
+    local, host = part("email", "substring_index(m, '@', 1)"), part("domain", "regexp_extract(m, '@(.*)[.]', 1)")
+    return f"concat({local}, '@', {host}, '.', substring_index(m, '.', -1))"
 
 
 def _hex(key: str) -> str:
@@ -212,20 +226,34 @@ def _value_sql(key: str) -> str:
     return f"if({digits} and not {whole}, {_run(key)}, {plain})"
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: str = "lexarium") -> DataFrame:
-    """df with pseudonyms in the text, and pii_found and pii_changed: how many
-    candidates there were, and how many were validated and permuted."""
+def configured_key(spark: SparkSession) -> str:
+    """The session's spark.lexarium.pii.key, else one drawn for the application."""
+    sc = spark.sparkContext
+    if named := spark.conf.get("spark.lexarium.pii.key", None):
+        return named
+    if not hasattr(sc, "_lexarium_key"):
+        sc._lexarium_key = secrets.token_hex(16)
+    return sc._lexarium_key
+
+
+def pseudonymise(df: DataFrame, key: str, text_col: str = "text", names: tuple[str, str] = ("pii_found", "pii_changed")) -> DataFrame:
+    """df with pseudonyms in the text, and two counts: of candidates, and of
+    those that were validated and permuted."""
+    if not key:
+        raise ValueError("a key is needed")
+    df = df.drop(*names)
+    hits_col, new_col = spare(df, "hits", "pseudonyms")
     # the date pattern's back reference is the only group of the whole pattern
     pattern = _q("|".join(PATTERNS.values()))
     t = f"`{text_col}`"
-    hits = f"if({t} rlike '[0-9@]', regexp_extract_all({t}, {pattern}, 0), cast(array() as array<string>))"
-    out = df.withColumn("__hits", F.expr(hits)).withColumn("__new", F.expr(f"transform(__hits, m -> {_value_sql(key)})"))
-    rest = f"zip_with(split({t}, {pattern}, -1), __new, (a, b) -> concat(a, coalesce(b.v, '')))"
-    total = lambda name: F.expr(f"if({t} is null, 0, aggregate(__new, 0, (s, x) -> s + x.{name}))").cast("bigint")
-    out = out.withColumn("pii_found", total("found")).withColumn("pii_changed", total("changed"))
-    return out.withColumn(text_col, F.expr(f"if(size(__hits) > 0, array_join({rest}, ''), {t})")).drop("__hits", "__new")
+    hits = f"if({t} rlike '[0-9@]|[A-Fa-f]{{32}}', regexp_extract_all({t}, {pattern}, 0), cast(array() as array<string>))"
+    out = df.withColumn(hits_col, F.expr(hits)).withColumn(new_col, F.expr(f"transform(`{hits_col}`, m -> {_value_sql(key)})"))
+    rest = f"zip_with(split({t}, {pattern}, -1), `{new_col}`, (a, b) -> concat(a, coalesce(b.v, '')))"
+    total = lambda name: F.expr(f"if({t} is null, 0, aggregate(`{new_col}`, 0, (s, x) -> s + x.{name}))").cast("bigint")
+    out = out.withColumn(names[0], total("found")).withColumn(names[1], total("changed"))
+    return out.withColumn(text_col, F.expr(f"if(size(`{hits_col}`) > 0, array_join({rest}, ''), {t})")).drop(hits_col, new_col)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in their texts."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))
