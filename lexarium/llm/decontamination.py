@@ -13,7 +13,8 @@ each batch of documents is scanned with one block in memory after the other.
 Null texts have no words; an item without words has no window. Items with a
 null item_id hit words but are named nowhere; repeated items are named once.
 Rows of documents are judged one by one, repeated or not; an empty table gives
-no rows; other columns are not read (`keep_clean` hands them on).
+no rows; other columns are not read (`keep_clean` hands them on). Long texts are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -178,3 +179,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+s AS (SELECT item_id, least(len(ws), 13) AS k, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i, ws FROM b WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS t FROM s),
+w AS (SELECT r, k, unnest(range(1, len(ws) - k + 2)) AS i, ws FROM d CROSS JOIN (SELECT DISTINCT k FROM g) WHERE len(ws) >= k),
+m AS (SELECT w.r, w.i, w.k, g.item_id FROM (SELECT r, k, i, array_to_string(ws[i:i + k - 1], ' ') AS t FROM w) w JOIN g ON w.k = g.k AND w.t = g.t),
+h AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, i, k FROM m)) GROUP BY r),
+n AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN n ON d.r = n.r
+"""

@@ -30,7 +30,10 @@ one task's matrix product of shared regions, so no pair becomes a row.
 Null and empty texts, and texts without words, are near nothing but themselves:
 each such row is its own class. Equal (doc_id, text) rows share a class. Rows
 with a null doc_id are classed like others, under the least id of their class
-(null if none has one). Other columns are not read.
+(null if none has one). Where ids repeat, two classes may have one least id:
+class_key tells them apart (null for texts without words). Ties in leaders'
+order go to the smaller hash. Long texts are compared whole; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import SMALL, estimated_bytes, settle, ship, small, table
+from lexarium.llm._shared import SMALL, estimated_bytes, settle, ship, small, spare, table
 from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_ranges, mix, window_at, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -188,12 +191,14 @@ def _compare_blocks(members: DataFrame, shingles: DataFrame, similarity: float)
     members (key, node, size, comp) of each bucket."""
     level = F.floor(F.log(F.col("size")) / math.log(1.0001 / similarity)).cast("int")
     members = members.withColumn("level", level)
-    count = members.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    count = settle(members.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")), "blocks")
     # the blocks of the own level and of both neighbours
     near = count.select("key", F.explode(F.array("level", F.col("level") - 1, F.col("level") + 1)).alias("level"), F.struct(F.col("level").alias("level"), "blocks").alias("other"))
     near = near.groupBy("key", "level").agg(F.collect_list("other").alias("others"))  # three at most
-    own = members.join(count, ["key", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.join(near, ["key", "level"]).withColumn("other", F.explode("others"))
+    # counts are broadcast after a size check, so that a large bucket's members stay where they are
+    near = settle(near.join(count, ["key", "level"]), "near")
+    own = members.join(small(near), ["key", "level"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode("others"))
     own = own.select("key", "node", "comp", "level", "block", F.col("other.level").alias("level2"), F.explode(F.sequence(F.lit(0), F.col("other.blocks") - 1)).alias("block2"))
     one, two = F.struct("level", "block"), F.struct(F.col("level2").alias("level"), F.col("block2").alias("block"))
     own = own.select("key", "node", "comp", F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), (one <= two).alias("first"))
@@ -339,9 +344,10 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE,
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each document: doc_id, class_id (the least doc_id of its
-    component), class_size (documents), n_links (compared links of its text)."""
+    component), class_size (documents), n_links (compared links of its text),
+    class_key (the component's own name)."""
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("tag"))
-    return _classes(docs, similarity, k, bands, rows).select("doc_id", "class_id", "class_size", "n_links")
+    return _classes(docs, similarity, k, bands, rows).select("doc_id", "class_id", "class_size", "n_links", F.col("comp").alias("class_key"))
 
 
 def first_of_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,12 +360,11 @@ def first_of_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
     first = classed.where("comp IS NOT NULL").groupBy("comp").agg(F.min(row).alias("r")).select("r.doc_id", "r.tag", F.lit(False))
     alone = classed.where("comp IS NULL").select("doc_id", "tag", F.lit(True)).distinct()
-    kept = first.union(alone).toDF("__id", "__own", "__alone")
-    named = df.withColumn("__tag", tag)
-    left = named.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__tag").eqNullSafe(F.col("__own")))
+    id_, own, single, of, nth = spare(df, "id_", "own", "alone", "tag", "nth")
+    kept = first.union(alone).toDF(id_, own, single)
+    left = df.withColumn(of, tag).join(kept, F.col(id_col).eqNullSafe(F.col(id_)) & F.col(of).eqNullSafe(F.col(own)))
     # equal rows are one, if they have words
-    nth = F.when(F.col("__alone"), F.monotonically_increasing_id())
-    return left.withColumn("__nth", nth).dropDuplicates([id_col, "__tag", "__nth"]).select(*df.columns)
+    return left.withColumn(nth, F.when(F.col(single), F.monotonically_increasing_id())).dropDuplicates([id_col, of, nth]).select(*df.columns)
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    from lexarium.llm.decontamination import OP8_SQL
     from lexarium.llm.substrings import OP6_SQL
 
-    return {"op6_substrings": OP6_SQL}
+    return {"op6_substrings": OP6_SQL, "op8_decontamination": OP8_SQL}

@@ -149,6 +149,40 @@ def test_shards(documents, spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * sum(sizes) / 16
 
 
+def test_equal_texts_lie_in_one_shard(documents):
+    """Also a group of a fourth of a shard; one above a shard is dealt on."""
+    r = random.Random(3)
+    texts = ["much " * 8] * 900 + ["some more words"] * 120 + [f"{prose(8, s)} {s % 7}" for s in range(2500)] + [None] * 30 + [prose(9, 7)] * 60
+    ids = [None if r.random() < 0.05 else r.randrange(10**6) for _ in texts]
+    rows = sharding.shard(documents(texts, ids)).collect()
+    assert len(rows) == len(texts)
+    where = collections.defaultdict(set)
+    for x in rows:
+        where[x.text_crc32].add(x.shard)
+    crc = lambda t: neardup.np.uint32(__import__("zlib").crc32((t or "").encode()))
+    assert len(where[int(crc(texts[0]))]) > 1 and all(len(s) == 1 for c, s in where.items() if c != int(crc(texts[0])))
+    by = collections.defaultdict(list)
+    sizes = collections.Counter()
+    for x in rows:
+        by[x.shard].append(x.slot)
+        sizes[x.shard] += x["size"]
+    assert len(by) == 16 and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(sizes.values()) - min(sizes.values()) < 0.05 * sum(sizes.values()) / 16
+
+
+def test_place_by_hand():
+    r = random.Random(4)
+    for n in (1, 3, 5):
+        vectors = [[r.randint(0, 50) / 1000 for _ in range(3)] for _ in range(60)]
+        room, want = [[1 / n] * 3 for _ in range(n)], [None] * 60
+        weigh = lambda v: sum(w * x for w, x in zip(sharding.WEIGHTS, v))
+        for i in sorted(range(60), key=lambda i: (-weigh(vectors[i]), i)):
+            dots = [sum(w * x * y for w, x, y in zip(sharding.WEIGHTS, vectors[i], rm)) for rm in room]
+            want[i] = max(range(n), key=lambda s: (round(dots[s], 12), -s))
+            room[want[i]] = [a - b for a, b in zip(room[want[i]], vectors[i])]
+        assert sharding.place(neardup.np.array(vectors), n).tolist() == want
+
+
 def test_components_merged_in_two_steps(spark):
     r = random.Random(7)
     pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(45)})
