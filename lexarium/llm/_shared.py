@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -9,16 +10,23 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parents[1]
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 SMALL = 4 << 20  # bytes on disk up to which a table is broadcast or read by one task
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a context."""
+    """Send this package to the executors' Python workers, once a context, and
+    bound the session's Arrow batches by bytes, unless it has a bound: a batch of
+    a fixed number of rows grows with the texts' length, in the JVM and in Python."""
     sc = spark.sparkContext
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_lexarium_shipped", False):
         return
     sc._lexarium_shipped = True
@@ -31,6 +39,28 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(target))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on beside the
+    JVM when its task has ended, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """The function of batches, which gives memory back at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, else (in tests, on
     one machine) a temporary one that is set here. A cluster has to name one."""

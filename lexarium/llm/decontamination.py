@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import fresh, open_shared, publish, ship, table
+from lexarium.llm._shared import fresh, lean, open_shared, publish, ship, table
 from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_ranges, window_at, windows
 
 WINDOW = 13
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                 at += len(n_words)
 
     schema = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<first:bigint,last:bigint>>, contaminated boolean"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = WINDOW, share: int = 20) -> DataFrame:
@@ -144,7 +144,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_c
             if bad:
                 yield batch.filter(pa.array(~np.concatenate(bad)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def cut_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -172,7 +172,7 @@ def cut_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.string()), pa.array(n_hit, pa.int64())], ["doc_id", "text", "n_hit"])
                 at += len(out)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, text string, n_hit bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, text string, n_hit bigint")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

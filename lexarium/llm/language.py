@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexarium.llm._shared import ship, spare, table
+from lexarium.llm._shared import lean, ship, spare, table
 from lexarium.llm._words import buffers, mix
 
 FIT_WINDOWS = 2400  # of each language
@@ -192,7 +192,7 @@ def _sampled(rows: DataFrame, rates: dict[str, float]) -> DataFrame:
                     pieces = [raw[x : x + SPAN].tobytes() for x in (at * SPAN).tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(u[at].astype(np.int64)), pa.array(pieces, pa.binary())], ["lang", "u", "piece"])
 
-    some = rows.mapInArrow(run, "lang string, u bigint, piece binary")
+    some = rows.mapInArrow(lean(run), "lang string, u bigint, piece binary")
     return some.groupBy("lang", "u").agg(F.min("piece").alias("piece"))
 
 
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, net: ByteGru | None, text_col: str = "text", names:
                 score = pa.array(np.where(ok, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lang, score], names=[*some.schema.names[:-1], *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str, mod: int, rest: int) -> Column:

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import SMALL, estimated_bytes, settle, ship, small, spare, table
+from lexarium.llm._shared import SMALL, estimated_bytes, lean, settle, ship, small, spare, table
 from lexarium.llm._words import ALNUM, LOWER, buffers, chunks, find_words, hash_ranges, mix, window_at, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -126,7 +126,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offs = buffers(batch.column(1))
-            for a, b, part, o in chunks(data, offs, 2 << 20):
+            for a, b, part, o in chunks(data, offs, 1 << 20):
                 n = b - a
                 of, g = cells(part, o, k)
                 size = np.bincount(of, minlength=n)
@@ -139,7 +139,7 @@ def _signatures(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(node.astype(np.int64)), pa.array(size, pa.int64()), flat], ["doc_id", "tag", "node", "size", "keys"])
 
-    return docs.mapInArrow(run, "doc_id bigint, tag binary, node bigint, size bigint, keys array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, tag binary, node bigint, size bigint, keys array<bigint>")
 
 
 def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -156,7 +156,7 @@ def _compare(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return small(pairs).join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
+    return small(pairs).join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def shared_regions(a: list[np.ndarray], b: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -293,7 +293,7 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE,
     def regions(batches):
         for batch in batches:
             data, offs = buffers(batch.column(0))
-            for a, b, part, o in chunks(data, offs, 2 << 20):
+            for a, b, part, o in chunks(data, offs, 1 << 20):
                 n = b - a
                 of, g = cells(part, o, k)
                 size = np.bincount(of, minlength=n)
@@ -305,7 +305,7 @@ def _classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE,
                 body = [np.unique((g[x:y] >> np.uint64(32)).astype("<u4")).tobytes() for x, y in zip(edge, edge[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(node, np.uint64).astype(np.int64)), pa.array(body, pa.binary())], ["node", "body"])
 
-    found = texts.select("text").mapInArrow(regions, "node bigint, body binary")
+    found = texts.select("text").mapInArrow(lean(regions), "node bigint, body binary")
     shingles = settle(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
 
     def close(pairs: DataFrame) -> DataFrame:

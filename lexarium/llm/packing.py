@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import ship, table
+from lexarium.llm._shared import lean, ship, table
 from lexarium.llm._tokens import encoder, vocabulary, with_end
 from lexarium.llm._words import buffers
 
@@ -138,7 +138,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: s
         packer.finish()
         yield rows()
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

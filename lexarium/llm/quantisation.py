@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import fresh, open_shared, publish, settle, ship, table
+from lexarium.llm._shared import fresh, lean, open_shared, publish, settle, ship, table
 
 BOOKS, WORDS, BEAM = 16, 128, 8
 FIT = 16384
@@ -167,7 +167,7 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "blocks": pa.array([seq], pa.int32()), "n": pa.array([n], pa.int64())})
 
     # one row of three numbers for each task that wrote
-    found = settle(rows.mapInArrow(run, "part int, blocks int, n bigint"), "blocks").where("blocks > 0").collect()
+    found = settle(rows.mapInArrow(lean(run), "part int, blocks int, n bigint"), "blocks").where("blocks > 0").collect()
     blocks = np.zeros(max((r.part + 1 for r in found), default=0), np.int32)
     for r in found:
         blocks[r.part] = r.blocks
@@ -255,7 +255,7 @@ def search(queries: DataFrame, index: Index, k: int = 20, id_col: str = "vec_id"
             for i in range(0, len(q), QUERIES):
                 yield answer(qid[i : i + QUERIES], q[i : i + QUERIES])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op9_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

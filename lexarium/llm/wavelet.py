@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import fresh, open_shared, partitions, publish, settle, ship, table
+from lexarium.llm._shared import fresh, lean, open_shared, partitions, publish, settle, ship, table
 from lexarium.llm._tokens import encoder, vocabulary, with_end
 from lexarium.llm._words import buffers
 
@@ -199,7 +199,7 @@ def write_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield flush()
 
-    return settle(docs.mapInArrow(run, "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint, before bigint"), "manifest")
+    return settle(docs.mapInArrow(lean(run), "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint, before bigint"), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 ids_of = pa.array(m.docs, pa.int64(), mask=m.null_id.astype(bool))
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(start + offs[:-1], pa.int64()), pa.array(m.sizes, pa.int64()), body.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return files.mapInArrow(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
