@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +78,80 @@ def shortlist(left: DataFrame, right: DataFrame, id_col: str, text: Column, n: i
     order = Window.partitionBy("a").orderBy(F.desc("overlap"), "b")
     pairs = pairs.join(members.select("set", "b"), "set").select("a", "b", "overlap")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """100 x (1 - insertions and deletions / characters of both): 200 x the
+    longest common subsequence over both lengths, counted in the bits of one
+    integer. Two empty texts are equal."""
+    if not a and not b:
+        return 100.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        u = row & at.get(c, 0)
+        row = (row + u | row - u) & every
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, id_col: str, text: Column, threshold: float = 90.0, n: int = 3, most: int = 20) -> DataFrame:
+    """a, b, score: for each row of left the best of its `most` candidates in
+    right that share word n-grams, if its ratio reaches the threshold; ties to
+    more n-grams in common, then to the least id. Null and empty texts match
+    nothing."""
+    side = lambda d, name: d.select(F.col(id_col).alias(name), text.alias(f"text_{name}")).where(F.col(f"text_{name}") != "")
+    pairs = shortlist(left, right, id_col, text, n, most).select("a", "b", "overlap")
+    pairs = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b").select("a", "b", "overlap", "text_a", "text_b")
+
+    def run(batches):
+        for batch in batches:
+            score = [indel_ratio(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.float64())], ["a", "b", "overlap", "score"])
+
+    kind = dict(pairs.dtypes)
+    scored = pairs.mapInArrow(run, f"a {kind['a']}, b {kind['b']}, overlap bigint, score double").where(F.col("score") >= threshold)
+    best = F.struct((-F.col("score")).alias("s"), (-F.col("overlap")).alias("o"), F.col("b"))
+    return scored.groupBy("a").agg(F.min(best).alias("m")).select("a", "m.b", (-F.col("m.s")).alias("score"))
+
+
+def merge_all(sources: list[DataFrame], id_col: str, keys: list[Column], fuzzy: Column | None = None, threshold: float = 90.0) -> tuple[DataFrame, DataFrame]:
+    """Sources in order of priority, folded: of rows that match by a key, or by
+    a fuzzy text after that, those of the earlier source stay. Also the aliases
+    (dropped, kept) of all steps."""
+    main, gone = sources[0], None
+    for other in sources[1:]:
+        before = main
+        main, found = merge_exact(before, other, id_col, keys)
+        if fuzzy is not None:
+            rest = other.join(found.select(F.col("dropped").alias(id_col)), id_col, "left_anti")
+            near = fuzzy_matches(rest, before, id_col, fuzzy, threshold).select(F.col("a").alias("dropped"), F.col("b").alias("kept"))
+            main = before.unionByName(rest.join(near.select(F.col("dropped").alias(id_col)), id_col, "left_anti"), allowMissingColumns=True)
+            found = found.unionByName(near)
+        gone = found if gone is None else gone.unionByName(found)
+    return main, gone
+
+
+def strata(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
+    """df with `stratum`: n classes of equal count by (size, key). Only the rows
+    of the at most n - 1 sizes that a border falls into are ranked; all others
+    follow from the counts of each size, of which there are few."""
+    count = df.groupBy(size).agg(F.count(F.lit(1)).alias("_m"))
+    up_to = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, -1)  # one row a size
+    count = count.withColumn("_from", F.coalesce(F.sum("_m").over(up_to), F.lit(0)))
+    total = count.agg(F.sum("_m").alias("_n"))
+    count = count.crossJoin(F.broadcast(total))  # one row
+    each, more = F.floor(F.col("_n") / n), F.col("_n") % n
+
+    def of(rank: Column) -> Column:
+        wide = more * (each + 1)
+        return F.when(rank < wide, F.floor(rank / (each + 1)) + 1).otherwise(more + F.floor((rank - wide) / F.greatest(each, F.lit(1))) + 1).cast("int")
+
+    count = count.select(F.col(size).alias("_size"), "_from", "_n", of(F.col("_from")).alias("_low"), of(F.col("_from") + F.col("_m") - 1).alias("_high"))
+    j = df.join(count, F.col(size).eqNullSafe(F.col("_size")))
+    plain = j.where("_low = _high").withColumn("stratum", F.col("_low"))
+    nth = F.row_number().over(Window.partitionBy("_size").orderBy(key)) - 1
+    split = j.where("_low < _high").withColumn("_nth", nth).withColumn("stratum", of(F.col("_from") + F.col("_nth"))).drop("_nth")
+    return plain.unionByName(split).select(*df.columns, "stratum")

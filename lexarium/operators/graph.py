@@ -71,6 +71,27 @@ def block_means(edges: DataFrame, groups: DataFrame, scale: float = 1.0, weight:
     return j.select("a", "b", (F.col("total") / pairs * scale).alias("mean"))
 
 
+def baseline(edges: DataFrame, nodes: DataFrame, scale: float = 1000.0, weight: str = "weight") -> DataFrame:
+    """One row: the mean weight over all pairs of different nodes, those without
+    an edge included; 0 for fewer than two nodes."""
+    n = nodes.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    total = edges.agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("total"))
+    return n.crossJoin(F.broadcast(total)).select(F.when(pairs > 0, F.col("total") / pairs * scale).otherwise(0.0).alias("baseline"))  # one row each
+
+
+def inout(means: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per group: internal (its own cell of `block_means`) and outward (the mean
+    of its cells with all other groups, 0 where there is no edge)."""
+    all_groups = groups.select(F.col(groups.columns[1]).alias("grp")).distinct()
+    n = all_groups.agg(F.count(F.lit(1)).alias("n"))
+    own = means.where("a = b").select(F.col("a").alias("grp"), F.col("mean").alias("own"))
+    out = means.where("a <> b").select(F.explode(F.array("a", "b")).alias("grp"), "mean").groupBy("grp").agg(F.sum("mean").alias("total"))
+    j = all_groups.join(own, "grp", "left").join(out, "grp", "left").crossJoin(F.broadcast(n))  # one row
+    outward = F.when(F.col("n") > 1, F.coalesce("total", F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(0.0)
+    return j.select("grp", F.coalesce("own", F.lit(0.0)).alias("internal"), outward.alias("outward"))
+
+
 def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0, weight: str = "weight") -> DataFrame:
     """One row: q, of weighted undirected edges."""
     g = groups.toDF("node", "grp")

@@ -14,6 +14,18 @@ def entropy(df: DataFrame, topic: str) -> DataFrame:
     return n.crossJoin(F.broadcast(t)).agg(F.sum(-p * F.ln(p)).alias("entropy"))  # one row
 
 
+def heaviest(tokens: DataFrame, doc: str, term: str, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
+    """doc, top, terms: the largest weight of `tfidf` and the number of terms,
+    with one aggregation over the weights; counts are shuffled once."""
+    tf = tokens.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))
+    n = tf.select(doc).distinct().agg(F.count(F.lit(1)).alias("n"))
+    df = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n))  # one row
+    df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))
+    w = tf.join(df, term).select(doc, (F.col("tf") * (F.ln((1.0 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    out = w.groupBy(doc).agg(F.max("w").alias("m"), F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"), F.count(F.lit(1)).alias("terms"))
+    return out.select(doc, (F.col("m") / F.col("norm")).alias("top"), "terms")
+
+
 def tfidf(tokens: DataFrame, doc: str, term: str, n_docs: int, min_df: int = 1, max_share: float = 1.0) -> DataFrame:
     """doc, term, weight: count x (ln((1+n)/(1+df)) + 1), of unit length."""
     tf = tokens.groupBy(doc, term).agg(F.count(F.lit(1)).alias("tf"))

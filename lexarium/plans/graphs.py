@@ -87,6 +87,19 @@ def collab_block_means(spark, d):
     return G.block_means(G.salton(e, s), _regions(spark, d), 1000.0).select("a", "b", F.round("mean", 6).alias("mean"))
 
 
+def collab_baseline(spark, d):
+    """The mean weight over all pairs of nations, which block means are held against."""
+    _, e, s = _collab(spark, d)
+    return G.baseline(G.salton(e, s), s.select("node")).select(F.round("baseline", 6).alias("baseline"))
+
+
+def collab_inout(spark, d):
+    """Each region's weight inside and towards the others."""
+    _, e, s = _collab(spark, d)
+    r = _regions(spark, d)
+    return G.inout(G.block_means(G.salton(e, s), r, 1000.0), r).select("grp", F.round("internal", 6).alias("internal"), F.round("outward", 6).alias("outward"))
+
+
 def collab_enrichment(spark, d):
     _, e, s = _collab(spark, d)
     return G.enrichment(G.salton(e, s), _regions(spark, d)).select("a", "b", F.round("ratio", 6).alias("ratio"))
@@ -115,7 +128,7 @@ def coupling_communities(spark, d):
     return G.label_propagation(e, 5)
 
 
-QUERIES = {f.__name__: f for f in (coupling_edges, coupling_top_edges, cocitation_edges, cocitation_edges_all, frequent_references, frequent_references_all, coupling_strengths, collab_counts, collab_salton, collab_association, collab_backbone, collab_block_means, collab_enrichment, collab_modularity, internal_support, collab_pagerank, coupling_communities)}
+QUERIES = {f.__name__: f for f in (coupling_edges, coupling_top_edges, cocitation_edges, cocitation_edges_all, frequent_references, frequent_references_all, coupling_strengths, collab_counts, collab_salton, collab_association, collab_backbone, collab_block_means, collab_baseline, collab_inout, collab_enrichment, collab_modularity, internal_support, collab_pagerank, coupling_communities)}
 
 _COUPLING = f"""WITH {REFS}, sz AS (SELECT doc, count(*) AS s FROM refs GROUP BY doc),
 e AS (SELECT a.doc AS src, b.doc AS dst, count(*) AS count FROM refs a JOIN refs b ON a.ref = b.ref AND a.doc < b.doc GROUP BY ALL),
@@ -148,6 +161,10 @@ SELECT src, dst, count, round(count / sqrt(CAST(x.s AS DOUBLE) * y.s), 8) AS wei
     "collab_backbone": _COLLAB + ", r AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS INT) AS rank FROM bw) SELECT src, dst, rank FROM r WHERE rank <= 3 AND src < dst",
     "collab_block_means": _COLLAB + """, n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp), b AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, sum(weight) AS t FROM w JOIN g x ON x.node = src JOIN g y ON y.node = dst GROUP BY ALL)
 SELECT a, b, round(t / CASE WHEN a = b THEN p.n * (p.n - 1) / 2 ELSE p.n * q.n END * 1000, 6) AS mean FROM b JOIN n p ON p.grp = a JOIN n q ON q.grp = b""",
+    "collab_baseline": _COLLAB + """, k AS (SELECT count(DISTINCT key) AS n FROM au) SELECT round(sum(weight) / ((SELECT n FROM k) * ((SELECT n FROM k) - 1) / 2) * 1000, 6) AS baseline FROM w""",
+    "collab_inout": _COLLAB + """, n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp), b AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, sum(weight) AS t FROM w JOIN g x ON x.node = src JOIN g y ON y.node = dst GROUP BY ALL),
+m AS (SELECT a, b, t / CASE WHEN a = b THEN p.n * (p.n - 1) / 2 ELSE p.n * q.n END * 1000 AS mean FROM b JOIN n p ON p.grp = a JOIN n q ON q.grp = b)
+SELECT grp, round(coalesce((SELECT sum(mean) FROM m WHERE a = b AND a = n.grp), 0), 6) AS internal, round(coalesce((SELECT sum(mean) FROM m WHERE a <> b AND (a = n.grp OR b = n.grp)), 0) / ((SELECT count(*) FROM n) - 1), 6) AS outward FROM n""",
     "collab_enrichment": _COLLAB + """, s AS (SELECT grp, sum(strength) AS s, sum(strength * strength) AS q FROM st JOIN g ON g.node = st.node GROUP BY grp),
 b AS (SELECT least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, sum(weight) AS seen FROM w JOIN g x ON x.node = src JOIN g y ON y.node = dst GROUP BY ALL), t AS (SELECT sum(strength) AS t FROM st)
 SELECT a, b, round(seen / (CASE WHEN a = b THEN (p.s * p.s - p.q) / 2 ELSE p.s * r.s END / t), 6) AS ratio FROM b JOIN s p ON p.grp = a JOIN s r ON r.grp = b CROSS JOIN t""",

@@ -32,8 +32,8 @@ def truncate_text(spark, d):
 
 
 def plausible_abstracts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.implausible_signals(F.col("text")).cast("bigint").alias("signals"))
-    return docs.select("doc_id", "signals", (F.col("signals") < 2).alias("plausible"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", T.implausible_signals(F.col("text")).cast("bigint").alias("signals"), T.plausible_abstract(F.col("text")).alias("plausible"))
 
 
 def token_heuristic(spark, d):
@@ -43,10 +43,8 @@ def token_heuristic(spark, d):
 
 def token_strata(spark, d):
     """Eight length classes of equal count: rows, characters, tokens."""
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents").select("doc_id", "n_chars", T.heuristic_tokens(F.col("text")).alias("tokens"))
-    s = docs.withColumn("stratum", F.ntile(8).over(Window.orderBy("n_chars", "doc_id")))
+    s = C.strata(docs, "n_chars", "doc_id", 8)
     return s.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.sum("tokens").alias("tokens"))
 
 
@@ -79,10 +77,8 @@ def _tokens(spark, d):
 
 def document_tfidf(spark, d):
     """The heaviest term of each document."""
-    t = _tokens(spark, d)
-    n = t.select("doc_id").distinct().count()
-    w = P.tfidf(t, "doc_id", "term", n, 3, 0.4).withColumn("w", F.round("weight", 8))
-    return w.groupBy("doc_id").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("terms"))
+    w = P.heaviest(_tokens(spark, d), "doc_id", "term", 3, 0.4)
+    return w.select("doc_id", F.round("top", 8).alias("top"), "terms")
 
 
 def topic_terms(spark, d):
@@ -130,11 +126,49 @@ def split_references(spark, d):
     return cell.select("l_orderkey", F.size(parts).cast("bigint").alias("n"), F.element_at(parts, 1).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (canonical_titles, title_key_dedup, truncate_text, plausible_abstracts, token_heuristic, token_strata, language_filter, html_strip, url_host, json_extract, document_tfidf, topic_terms, merge_exact, merge_aliases, seed_match_ngrams, doi_normalise, split_references)}
+def _names(spark, d):
+    """Person and institution names made of a document's first words."""
+    w = F.split(F.regexp_replace("text", r"[^a-zA-Zà-öø-ÿß]+", " "), " ")
+    docs = table(spark, d, "documents").select("doc_id", F.filter(w, lambda x: x != "").alias("w")).where("size(w) >= 3")
+    a, b, c, i = F.col("w")[0], F.col("w")[1], F.col("w")[2], F.col("doc_id") % 4
+    person = F.when(i == 0, F.concat(a, F.lit(", "), b)).when(i == 1, F.concat(a, F.lit(" "), b)).when(i == 2, F.concat(a, F.lit(" "), b, F.lit(" X.Y."))).otherwise(F.concat(a, F.lit(", "), b, F.lit(" "), c, F.lit(" (Corresponding Author)")))
+    place = F.concat(F.when(i == 0, "The ").otherwise(""), a, F.lit(" & "), b, F.lit(" (XYZ) "), c)
+    return docs.select("doc_id", person.alias("person"), place.alias("place"))
+
+
+def person_keys(spark, d):
+    """Names in four forms as `surname initial`, in full, and as a key."""
+    n, p = _names(spark, d), F.col("person")
+    return n.select("doc_id", T.person_norm(p).alias("short"), T.person_norm(p, False).alias("whole"), T.author_name_key(p).alias("key"))
+
+
+def institution_keys(spark, d):
+    return _names(spark, d).select("doc_id", T.institution_name_key(F.col("place")).alias("key"))
+
+
+def identity_keys(spark, d):
+    """Keys of addresses of persons, institutions and works, made of customers."""
+    c = table(spark, d, "customer")
+    k = F.lpad(F.col("c_custkey").cast("string"), 4, "0")
+    orcid = F.concat(F.when(F.col("c_custkey") % 2 == 0, "https://orcid.org/").otherwise(" "), k, F.lit("-0002-8333-72"), F.when(F.col("c_custkey") % 3 == 0, "3x").otherwise("3"))
+    return c.select("c_custkey", T.orcid_key(orcid).alias("orcid"), T.ror_key(F.concat(F.lit("https://ror.org/0"), F.upper("c_name"))).alias("ror"), T.openalex_key(F.concat(F.lit("http://openalex.org/A"), k)).alias("openalex"))
+
+
+def fuzzy_titles(spark, d):
+    """For each benchmark item's first line the nearest title of a document."""
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), T.canonical_title(F.substring("text", 1, 200)).alias("t"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.canonical_title(F.substring("text", 1, 200)).alias("t"))
+    return C.fuzzy_matches(bench, docs, "id", F.col("t"), 50.0).withColumn("score", F.round("score", 8))
+
+
+QUERIES = {f.__name__: f for f in (person_keys, institution_keys, identity_keys, fuzzy_titles, canonical_titles, title_key_dedup, truncate_text, plausible_abstracts, token_heuristic, token_strata, language_filter, html_strip, url_host, json_extract, document_tfidf, topic_terms, merge_exact, merge_aliases, seed_match_ngrams, doi_normalise, split_references)}
 
 _KEY = "nullif(substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 90), '')"
 _T = f"t AS (SELECT doc_id, n_chars, CAST(substr(source, 4) AS INT) % 2 = 0 AS even, {_KEY} AS k FROM (SELECT *, string_split(text, chr(10))[1] AS title FROM documents))"
-_PLAIN = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
+_PLAIN = r"regexp_replace(strip_accents(lower({})), '[^\x00-\x7F]+', '', 'g')"
+_NORM = "trim(regexp_replace(" + _PLAIN + ", '[^a-z0-9]+', ' ', 'g'))"
+_NAMES = """n AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^a-zA-Zà-öø-ÿß]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)"""
+_KNOWN = lambda words: "[" + ", ".join(f"'{x}'" for x in words) + "]"
 _W = "list_filter(regexp_split_to_array(lower({}), '[^a-zà-öø-ÿß]+'), lambda x: x <> '')"
 _TOK = f"tok AS (SELECT doc_id, lang, unnest({_W.format('text')}) AS term FROM documents)"
 
@@ -142,13 +176,22 @@ ORACLE = {
     "canonical_titles": f"SELECT doc_id, trim(regexp_replace({_PLAIN.format('string_split(text, chr(10))[1]')}, '[^a-z0-9]+', ' ', 'g')) AS title FROM documents",
     "title_key_dedup": f"WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n_chars DESC, doc_id) AS r FROM t) SELECT doc_id, n_chars FROM r WHERE k IS NULL OR r = 1",
     "truncate_text": """WITH x AS (SELECT doc_id, text, substr(text, 1, 300) AS h FROM documents),
-y AS (SELECT *, length(regexp_extract(h, '^(?s)(.*[.!?])', 1)) AS e, length(regexp_extract(h, '^(?s)(.*)\\s', 1)) AS b FROM x),
-z AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE rtrim(CASE WHEN e >= 225 THEN substr(text, 1, e) WHEN b > 0 THEN substr(text, 1, b) ELSE h END, ' ') END AS c FROM y)
+y AS (SELECT *, 301 - least(coalesce(nullif(strpos(reverse(h), '.'), 0), 301), coalesce(nullif(strpos(reverse(h), '!'), 0), 301), coalesce(nullif(strpos(reverse(h), '?'), 0), 301)) AS e,
+300 - coalesce(nullif(strpos(reverse(h), ' '), 0), 300) AS b FROM x),
+z AS (SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE regexp_replace(substr(text, 1, CASE WHEN e - 1 >= 225 THEN e WHEN b - 1 >= 225 THEN b ELSE 300 END), '\\s+$', '') END AS c FROM y)
 SELECT doc_id, length(c) AS n, md5(c) AS h FROM z""".replace("\\\\", "\\"),
-    "plausible_abstracts": f"""WITH x AS (SELECT doc_id, text, {_W.format('text')} AS w FROM documents), s AS (SELECT doc_id,
-CAST(NOT list_has_any(w, [{', '.join(repr(x) for x in T.FUNCTION_WORDS)}]) AS BIGINT) + CAST(len(w) >= 6 AND len(list_distinct(w)) > 0.85 * len(w) AS BIGINT)
-+ CAST(NOT regexp_matches(text, '[.!?]') AS BIGINT) + CAST(length(regexp_replace(lower(text), '[^a-zà-öø-ÿß]', '', 'g')) < 0.5 * length(text) AS BIGINT) AS signals FROM x)
-SELECT doc_id, signals, signals < 2 AS plausible FROM s""",
+    "plausible_abstracts": f"""WITH x AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '[a-zA-Z][a-zA-Z''-]*'), lambda x: lower(x)) AS w FROM documents), s AS (SELECT doc_id, text,
+CAST(NOT list_has_any(w, {_KNOWN(T.FUNCTION_WORDS)}) AS BIGINT) + CAST(NOT list_has_any(w, {_KNOWN(T.VERB_CUES)}) AS BIGINT) + CAST(len(w) >= 6 AND len(list_distinct(w)) > 0.85 * len(w) AS BIGINT)
++ CAST(NOT regexp_matches(text, '[.!?]') AS BIGINT) AS signals FROM x)
+SELECT doc_id, signals, coalesce(regexp_matches(text, '\\S') AND signals < 2 AND lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' .,;:!?()[]{{}}"''')) NOT IN ({_KNOWN(T.KNOWN_GARBAGE)[1:-1]}), false) AS plausible FROM s""",
+    "person_keys": f"""WITH {_NAMES}, p AS (SELECT doc_id, doc_id % 4 AS i, regexp_full_match(w[2], '[A-Z]{{1,4}}') AS s, {_NORM.format('w[1]')} AS a, {_NORM.format('w[2]')} AS b, {_NORM.format('w[3]')} AS c FROM n WHERE len(w) >= 3),
+q AS (SELECT doc_id, CASE WHEN i = 0 OR i = 3 OR (i = 1 AND s) THEN a WHEN i = 1 THEN b ELSE trim(a || ' ' || b) END AS l, CASE WHEN i = 0 OR (i = 1 AND s) THEN b WHEN i = 1 THEN a WHEN i = 2 THEN 'x y' ELSE trim(b || ' ' || c) END AS f FROM p),
+r AS (SELECT doc_id, CASE WHEN l <> '' THEN CASE WHEN f = '' THEN l ELSE l || ' ' || substr(f, 1, 1) END END AS short, CASE WHEN l <> '' THEN trim(l || ' ' || f) END AS whole FROM q)
+SELECT doc_id, short, whole, 'name:' || short AS key FROM r""",
+    "institution_keys": f"""WITH {_NAMES}, p AS (SELECT doc_id, {_NORM.format("CASE WHEN doc_id % 4 = 0 THEN 'The ' ELSE '' END || w[1] || ' and ' || w[2] || '  ' || w[3]")} AS t FROM n WHERE len(w) >= 3)
+SELECT doc_id, 'name:' || nullif(regexp_replace(t, '^the ', ''), '') AS key FROM p""",
+    "identity_keys": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey <= 9999 THEN 'orcid:' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '-0002-8333-723X' END AS orcid,
+'ror:0' || lower(c_name) AS ror, 'openalex:A' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS openalex FROM customer""",
     "token_heuristic": "SELECT conv_id, CAST(sum(floor(length(text) / 3.7) + 12) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id",
     "token_strata": "WITH s AS (SELECT n_chars, CAST(floor(length(text) / 3.7) + 12 AS BIGINT) AS t, CAST(ntile(8) OVER (ORDER BY n_chars, doc_id) AS INT) AS stratum FROM documents) SELECT stratum, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(t) AS BIGINT) AS tokens FROM s GROUP BY stratum",
     "language_filter": "SELECT lang, source, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY ALL",
