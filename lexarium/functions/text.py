@@ -151,17 +151,25 @@ def heuristic_tokens(c: Column) -> Column:
 def person_norm(c: Column, initials: bool = True) -> Column:
     """Surname and first initial (or all first names) of `Last, First`, `First
     Last` or `Last F.M.`; null if there is no surname."""
-    name = F.trim(F.regexp_replace(c, r"(?i)\(\s*corresponding author\s*\)", ""))
-    parts = F.split(name, r"\s+")
-    n, tail = F.size(parts), F.element_at(parts, -1)
+    # each step is computed once, as the one element of an array
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     joined = lambda x: F.array_join(x, " ")
-    short = (n > 1) & tail.rlike(r"^(?:[A-Z]\.?-?){1,4}$")
-    before = joined(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))))
-    last = F.when(F.instr(name, ",") > 0, F.substring_index(name, ",", 1)).when(short, before).otherwise(tail)
-    first = F.when(F.instr(name, ",") > 0, F.regexp_extract(name, r"(?s)^[^,]*,(.*)$", 1)).when(short, tail).otherwise(before)
-    last, first = norm_words(last), norm_words(first)
-    given = F.substring(first, 1, 1) if initials else first
-    return F.when(last != "", F.when(first == "", last).otherwise(F.concat(last, F.lit(" "), given)))
+
+    def halves(x: Column) -> Column:
+        name, parts = x["name"], x["parts"]
+        n, tail, comma = F.size(parts), F.element_at(parts, -1), F.instr(name, ",") > 0
+        short = (n > 1) & tail.rlike(r"^(?:[A-Z]\.?-?){1,4}$")
+        before = joined(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        last = F.when(comma, F.substring_index(name, ",", 1)).when(short, before).otherwise(tail)
+        first = F.when(comma, F.regexp_extract(name, r"(?s)^[^,]*,(.*)$", 1)).when(short, tail).otherwise(before)
+        return F.struct(norm_words(last).alias("last"), norm_words(first).alias("first"))
+
+    def whole(x: Column) -> Column:
+        given = F.substring(x["first"], 1, 1) if initials else x["first"]
+        return F.when(x["last"] != "", F.when(x["first"] == "", x["last"]).otherwise(F.concat(x["last"], F.lit(" "), given)))
+
+    name = F.trim(F.regexp_replace(c, r"(?i)\(\s*corresponding author\s*\)", ""))
+    return once(once(once(name, lambda n: F.struct(n.alias("name"), F.split(n, r"\s+").alias("parts"))), halves), whole)
 
 
 def institution_norm(c: Column) -> Column:
