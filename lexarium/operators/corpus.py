@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexarium.functions import text as T
+
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """One row a key, the first in this order; rows with a null key all stay."""
@@ -155,3 +157,11 @@ def strata(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("_size").orderBy(key)) - 1
     split = j.where("_low < _high").withColumn("_nth", nth).withColumn("stratum", of(F.col("_from") + F.col("_nth"))).drop("_nth")
     return plain.unionByName(split).select(*df.columns, "stratum")
+
+
+def clean_and_drop(df: DataFrame, abstract: str = "abstract", doi: str = "doi", least: int = 2, garbage: tuple[str, ...] = (), most: int | None = None, drop: bool = True) -> DataFrame:
+    """Clean DOIs; implausible abstracts become null, others have at most `most`
+    characters; rows without an abstract go if `drop`. Row by row, no shuffle."""
+    kept = F.when(T.plausible_abstract(F.col(abstract), least, garbage), F.col(abstract))
+    out = df.withColumn(doi, T.clean_doi(F.col(doi))).withColumn(abstract, T.truncate(kept, most) if most else kept)
+    return out.where(F.col(abstract).isNotNull()) if drop else out
