@@ -61,6 +61,24 @@ def lean(run):
     return wrapped
 
 
+def lean_group(run):
+    """The function of one table or of two, which gives memory back at its end."""
+
+    def one(t):
+        try:
+            return run(t)
+        finally:
+            give_back()
+
+    def two(t, other):
+        try:
+            return run(t, other)
+        finally:
+            give_back()
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, else (in tests, on
     one machine) a temporary one that is set here. A cluster has to name one."""

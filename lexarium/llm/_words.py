@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 M64 = (1 << 64) - 1
 CHUNK = 4 << 20  # bytes of text handled at once
+BLOCK = 1 << 18  # words whose windows are hashed at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -159,9 +160,8 @@ def windows(h: np.ndarray, doc: np.ndarray, k: int, which: int = 0) -> tuple[np.
     """Places and hashes of all windows of k words inside one text."""
     if len(h) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    run, down = _running(h, which)
     at = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
-    return at, mix((run[at + k] - run[at]) * down[at] + np.uint64(k))
+    return at, window_at(h, at, k, which)
 
 
 def _running(h: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +173,17 @@ def _running(h: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_at(h: np.ndarray, at: np.ndarray, lengths, which: int = 0) -> np.ndarray:
-    """Hashes of the windows of given lengths at given places."""
-    if not len(at):
-        return np.zeros(0, np.uint64)
-    run, down = _running(h, which)
-    return mix((run[at + lengths] - run[at]) * down[at] + np.asarray(lengths).astype(np.uint64))
+    """Hashes of the windows of given lengths at given places, which ascend. A
+    hash doesn't depend on where the sum begins: sums run over blocks of words."""
+    out, sizes = np.empty(len(at), np.uint64), np.broadcast_to(lengths, len(at))
+    edge = np.searchsorted(at, np.arange(0, len(h) + BLOCK, BLOCK))
+    for first, x, y in zip(range(0, len(h), BLOCK), edge, edge[1:]):
+        if x < y:
+            k = sizes[x:y]
+            run, down = _running(h[first : first + BLOCK + int(k.max())], which)
+            own = at[x:y] - first
+            out[x:y] = mix((run[own + k] - run[own]) * down[own] + k.astype(np.uint64))
+    return out
 
 
 def hashed_words(data: np.ndarray, offs: np.ndarray, of_word: np.ndarray, fold: np.ndarray | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexarium.llm._shared import estimated_bytes, partitions, ship, table
+from lexarium.llm._shared import estimated_bytes, lean_group, partitions, ship, table
 from lexarium.llm._words import NOT_SPACE, buffers, find_words, hashed_words, window_at, windows
 
 WINDOW = 50
@@ -255,11 +255,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append(b" ".join(words).decode())
         return pa.table([t.column("doc_id").cast(pa.int64()), pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, schema.field("spans").type)], schema=schema)
 
-    sent = base.groupBy("bucket").applyInArrow(probes, _REPLY)
-    met = sent.groupBy("part").applyInArrow(answer, _REPLY)
-    asked = base.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(extend, _REPLY)
-    judged = asked.groupBy("part").applyInArrow(judge, _REPLY)
-    return base.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(remove, "doc_id bigint, text string, n_words bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>")
+    sent = base.groupBy("bucket").applyInArrow(lean_group(probes), _REPLY)
+    met = sent.groupBy("part").applyInArrow(lean_group(answer), _REPLY)
+    asked = base.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(lean_group(extend), _REPLY)
+    judged = asked.groupBy("part").applyInArrow(lean_group(judge), _REPLY)
+    return base.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(lean_group(remove), "doc_id bigint, text string, n_words bigint, n_removed bigint, spans array<struct<first:bigint,last:bigint>>")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
