@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graphs", "tables", "texts", "records", "actors")
+_MODULES = ("graphs", "tables", "texts", "records", "actors", "screening")
 
 
 def _collect(name: str) -> dict:

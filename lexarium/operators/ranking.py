@@ -32,28 +32,49 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def allocate_budget(pools: list[int], budget: int, floor: int = 0, rule: str = "sqrt") -> list[int]:
-    """Quotas of topics (a handful, on the driver): shares of the square root
-    (or size) of each pool, never over a pool, at least the floor if it has as
-    much; what is left goes to the largest fractions."""
-    need = [min(p, floor) for p in pools]
-    out, left = need[:], budget - sum(need)
-    weight = [(p**0.5 if rule == "sqrt" else float(p)) for p in pools]
-    while left > 0:
-        live = [i for i, p in enumerate(pools) if out[i] < p]
-        if not live:
+def allocate_budget(pools: list[int], budget: int, floor: int = 0, rule: str = "sqrt", ceiling: int | None = None) -> list[int]:
+    """Quotas of topics (a handful, on the driver): shares by the square root (or
+    size) of each pool. Shares above a pool or the ceiling are settled there
+    first, then those below the floor (or the pool, if less), and the rest is
+    dealt anew, whole seats by largest fractions. Floors may exceed the budget."""
+    most = [min(p, ceiling) if ceiling else p for p in pools]
+    least = [min(floor, m) for m in most]
+    weight = [p**0.5 if rule == "sqrt" else float(p) for p in pools]
+    out: dict[int, int] = {}
+    while live := [i for i in range(len(pools)) if i not in out]:
+        left, total = min(budget, sum(most)) - sum(out.values()), sum(weight[i] for i in live)
+        if left <= 0 or total <= 0:
+            out |= {i: least[i] for i in live}
             break
-        total = sum(weight[i] for i in live)
-        want = {i: left * weight[i] / total for i in live}
-        give = {i: min(int(want[i]), pools[i] - out[i]) for i in live}
-        if not any(give.values()):
-            for i in sorted(live, key=lambda i: (-(want[i] - int(want[i])), i))[:left]:
-                out[i] += 1
-            break
-        for i, n in give.items():
-            out[i] += n
-        left = budget - sum(out)
-    return out
+        share = {i: left * weight[i] / total for i in live}
+        bound = {i: most[i] for i in live if share[i] > most[i]} or {i: least[i] for i in live if share[i] < least[i]}
+        if not bound:
+            bound = {i: int(share[i]) for i in live}
+            for i in sorted(live, key=lambda i: bound[i] - share[i])[: left - sum(bound.values())]:
+                bound[i] += 1
+        out |= bound
+    return [out[i] for i in range(len(pools))]
+
+
+def review_relevance(cited: Column, year: Column, now: int | Column, by: list[Column], how: str = "blend") -> Column:
+    """Percentile of citations a year (the current one counts; "cpy"), or its mean
+    with the percentile of citations."""
+    raw = F.coalesce(cited.cast("double"), F.lit(0.0))
+    a_year = average_percentile(raw / F.greatest(F.lit(now) - F.coalesce(year, F.lit(now)) + 1, F.lit(1)), by)
+    return a_year if how == "cpy" else (a_year + average_percentile(raw, by)) / 2
+
+
+def pick_reviews(df: DataFrame, topic: str, now: int, recent: int = 2, most_recent: int = 3, most: int = 3, how: str = "blend") -> DataFrame:
+    """Adds `cohort` and `place`, of id, year, cited: the newest reviews of each
+    topic (year above now - recent, newest and most cited first), and of the others
+    the most relevant. Ties go to the least id."""
+    new = F.coalesce(F.col("year") > now - recent, F.lit(False))
+    out = df.withColumn("cohort", F.when(new, "recent").otherwise("ranked"))
+    by = [F.col(topic), F.col("cohort")]
+    out = out.withColumn("_rel", F.when(F.col("cohort") == "ranked", review_relevance(F.col("cited"), F.col("year"), now, by, how)))
+    order = [F.desc_nulls_last("_rel"), F.desc(F.when(F.col("cohort") == "recent", F.col("year"))), F.desc(F.when(F.col("cohort") == "recent", F.col("cited"))), F.col("id")]
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return out.where(F.col("place") <= F.when(F.col("cohort") == "recent", most_recent).otherwise(most)).drop("_rel")
 
 
 def distance_to_ideal(df: DataFrame, metrics: dict[str, bool], how: str = "euclidean") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from lexarium.functions import actors as A
 from lexarium.functions import text as T
 
 FIELDS = ["id", "author", "affiliations", "abstract", "journal", "title", "author_keywords", "doi", "language", "document_type", "references", "year", "cited_by"]
@@ -51,14 +52,15 @@ def _last(name: str) -> Column:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """All of FIELDS in order: blank and unknown values null, numbers doubles."""
+    """All of FIELDS in order: blank and unknown values null, numbers doubles; and
+    actors, if there."""
     cols = []
     for name in FIELDS:
         c = F.col(name) if name in df.columns else F.lit(None)
         c = F.trim(c.cast("string"))
         c = F.when(~F.lower(c).isin("", "unkn", "[no abstract available]"), c)
         cols.append((F.expr(f"try_cast(trim(`{name}`) AS DOUBLE)") if name in df.columns and name in NUMERIC else c.cast("double") if name in NUMERIC else c).alias(name))
-    return df.select(*cols)
+    return df.select(*cols, *[c for c in ("actors",) if c in df.columns])
 
 
 def read_wos(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +116,7 @@ _NAMED = "struct<display_name:string>"
 OPENALEX = (
     "id string, title string, publication_year string, cited_by_count string, language string, type string, doi string, "
     f"primary_location struct<source:{_NAMED}>, referenced_works array<string>, keywords array<{_NAMED}>, "
-    f"abstract_inverted_index map<string,array<int>>, authorships array<struct<author:{_NAMED},raw_affiliation_strings:array<string>>>"
+    f"abstract_inverted_index map<string,array<int>>, authorships {A.AUTHORSHIPS}"
 )
 
 
@@ -137,6 +139,7 @@ def read_openalex(spark: SparkSession, path: str) -> DataFrame:
             joined(F.col("referenced_works")).alias("references"),
             F.col("publication_year").alias("year"),
             F.col("cited_by_count").alias("cited_by"),
+            A.from_openalex(F.col("authorships")).alias("actors"),
         )
     )
 
