@@ -149,8 +149,10 @@ def institution_keys(spark, d):
 def identity_keys(spark, d):
     """Keys of addresses of persons, institutions and works, made of customers."""
     c = table(spark, d, "customer")
-    k = F.lpad(F.col("c_custkey").cast("string"), 4, "0")
-    orcid = F.concat(F.when(F.col("c_custkey") % 2 == 0, "https://orcid.org/").otherwise(" "), k, F.lit("-0002-8333-72"), F.when(F.col("c_custkey") % 3 == 0, "3x").otherwise("3"))
+    digits = F.col("c_custkey").cast("string")
+    k = F.lpad(digits, 4, "0")  # of longer keys the first four digits
+    whole = F.when(F.length(digits) > 4, digits).otherwise(k)  # five digits are no block of an ORCID
+    orcid = F.concat(F.when(F.col("c_custkey") % 2 == 0, "https://orcid.org/").otherwise(" "), whole, F.lit("-0002-8333-72"), F.when(F.col("c_custkey") % 3 == 0, "3x").otherwise("3"))
     return c.select("c_custkey", T.orcid_key(orcid).alias("orcid"), T.ror_key(F.concat(F.lit("https://ror.org/0"), F.upper("c_name"))).alias("ror"), T.openalex_key(F.concat(F.lit("http://openalex.org/A"), k)).alias("openalex"))
 
 

@@ -1,11 +1,14 @@
 import difflib
 import random
 
+import duckdb
 import pytest
+from differential import differences
 from pyspark.sql import functions as F
 
 from lexarium.functions import text as T
 from lexarium.operators import corpus as C
+from lexarium.plans import texts
 
 
 def column(spark, values, f):
@@ -100,3 +103,13 @@ def test_strata_by_hand(spark, n):
             want |= {k: t + 1 for _, k in order[at : at + size]}
             at += size
         assert got == want
+
+
+def test_identity_keys_beyond_four_digits(spark, tmp_path):
+    keys = [0, 3, 9999, 10002, 10005, 99999, 899997, 10**6]
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in keys], "c_custkey bigint, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: r for r in texts.identity_keys(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r.orcid} == {0, 3, 9999}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert not differences(texts.identity_keys(spark, str(tmp_path)), con, texts.ORACLE["identity_keys"])
