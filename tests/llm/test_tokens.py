@@ -1,12 +1,16 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from lexarium.llm import _tokens as K
 from lexarium.llm import packing, wavelet
 from lexarium.llm._tokens import vocabulary
+from lexarium.llm._words import buffers
 
 TEXTS = ["", None, "plain words here", "it's  two\n\nblanks   wide x", " lead and trail \n", "é à è ñ", "<|endoftext|> a", "x" * 5000, "long text of words " * 3000, "tie", "tie", "Ünï 12 ab3\t\r\n?!"]
 
@@ -96,3 +100,21 @@ def test_wavelet_matrix_queries(n, top):
     assert m.count(1 << 20) == 0 and m.count(top) == 0
     with pytest.raises(IndexError):
         m.select(top, 0)
+
+
+def test_encoder_in_bounded_memory():
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 6))) for _ in range(400)) for _ in range(1500)]  # 4 MB of one batch
+    coder, col = K.Encoder(K.vocabulary("word_bpe_49k.json")), pa.array(texts)
+    tracemalloc.start()
+    try:
+        got, first = {}, []
+        for a, ids, n in coder.encode(*buffers(col)):
+            first.append(a)
+            got[a] = ids[: n[0]]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(first) > 4 and peak < 100 << 20
+    for a in first[:3]:
+        assert got[a].tolist() == coder.tok.encode(texts[a], add_special_tokens=False).ids
