@@ -12,9 +12,12 @@ adds them along each code. The best candidates over the whole index, RERANK of
 them or one vector in RERANK_SHARE if that is more (ties to the smaller id), are
 scored again with the original vectors in double precision. Every vector is
 indexed. Codes and vectors lie in files of their own in the shared folder: a
-task reads all codes once for up to QUERIES queries, one block at a time, and
-those blocks of vectors that hold candidates. So the work is that of queries
-times codes: the method scans all codes, it has no coarse partition.
+task reads all codes, one block at a time, and those blocks of vectors that hold
+candidates, once for each group of its queries. A group has up to GROUP queries,
+fewer where their candidates would take more than HELD bytes: memory does not
+grow with the index until one query's candidates alone are more. So the work is
+that of queries times codes: the method scans all codes, it has no coarse
+partition.
 
 Vectors that are null, zero, of another dimension than the most frequent one
 (least, if tied), or hold null or non-finite components take no part, nor do
@@ -38,6 +41,7 @@ BOOKS, WORDS, BEAM = 16, 128, 8
 FIT = 16384
 BLOCK = 16384  # vectors of an index block
 QUERIES = 2048  # of a task
+GROUP, HELD = 128, 64 << 20  # queries scored at once, bytes of their candidates
 RERANK, RERANK_SHARE = 128, 40
 
 
@@ -95,11 +99,14 @@ class AdditiveQuantiser:
 
 
 def scores(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Inner products, by look-up: queries x vectors."""
-    out = np.zeros((len(tables), len(codes)), np.float32)
-    for b in range(codes.shape[1]):
-        out += tables[:, b, :].take(codes[:, b], 1)
-    return out
+    """Inner products, by look-up: queries x vectors. One look-up serves all queries."""
+    by_word = np.ascontiguousarray(tables.transpose(1, 2, 0))
+    out = np.zeros((len(codes), len(tables)), np.float32)
+    for i in range(0, len(codes), 1024):
+        some, sums = codes[i : i + 1024], out[i : i + 1024]
+        for b in range(codes.shape[1]):
+            sums += by_word[b].take(some[:, b], 0)
+    return np.ascontiguousarray(out.T)
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -147,6 +154,8 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
         def flush():
             ids, x = (np.concatenate(c) for c in zip(*held))
             done = [quantiser.encode(x[i : i + 1024]) for i in range(0, len(x), 1024)]
+            brief = x.astype(np.float32)
+            x = brief if (brief == x).all() else x
             for kind, what in (("codes", {"ids": ids, "codes": np.concatenate([c for c, _ in done]), "norms": np.concatenate([n for _, n in done])}), ("rows", {"x": x})):
                 out = io.BytesIO()
                 np.savez(out, **what)
@@ -174,27 +183,57 @@ def build_index(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     return Index(path, blocks, sum(r.n for r in found), d, made)
 
 
-class _Best:
-    """The `most` best candidates of each query: by score, then the least id."""
+def _best(score: np.ndarray, who: np.ndarray, most: int) -> np.ndarray:
+    """Where the `most` best stand: by score, then the least id; in any order."""
+    if len(score) <= most:
+        return np.arange(len(score))
+    edge = np.partition(score, len(score) - most)[len(score) - most]
+    above, tied = np.flatnonzero(score > edge), np.flatnonzero(score == edge)
+    need = most - len(above)
+    if need < len(tied):
+        tied = tied[np.argpartition(who[tied], need - 1)[:need]]
+    return np.concatenate([above, tied])
+
+
+class _Candidates:
+    """The `most` best candidates of each query: by score, then the least id.
+    They gather in a buffer, which is cut when it is full."""
 
-    def __init__(self, queries: int, most: int):
-        self.most, self.low = most, np.full(queries, -np.inf, np.float32)
-        none = np.zeros(0, np.int64)
-        self.held = [(np.zeros(0, np.float32), none, none, none)] * queries  # score, id, block, row
+    def __init__(self, qid: np.ndarray, most: int):
+        n, size = len(qid), self.size(most)
+        self.qid, self.most, self.low, self.n = qid, most, np.full(n, -np.inf, np.float32), np.zeros(n, np.int64)
+        self.score, self.who, self.place = np.empty((n, size), np.float32), np.empty((n, size), np.int64), np.empty((n, size), np.int64)
 
-    def add(self, first: int, approx: np.ndarray, ids: np.ndarray, block: int, qid: np.ndarray) -> None:
+    @staticmethod
+    def size(most: int) -> int:
+        return most + max(most, BLOCK)
+
+    @classmethod
+    def queries(cls, most: int) -> int:
+        """As many as HELD bytes of candidates allow."""
+        return max(1, min(GROUP, HELD // (20 * cls.size(most))))
+
+    def cut(self, j: int) -> None:
+        n = self.n[j]
+        if n > self.most:
+            keep = _best(self.score[j, :n], self.who[j, :n], self.most)
+            for x in (self.score, self.who, self.place):
+                x[j, : self.most] = x[j, keep]
+            self.n[j], self.low[j] = self.most, self.score[j, : self.most].min()
+
+    def add(self, approx: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Scores of a block's vectors; `first` is the place of the first one."""
         for j in range(len(approx)):
-            own = first + j
-            at = np.flatnonzero(approx[j] >= self.low[own])
-            at = at[ids[at] != qid[own]]
-            if not len(at):
-                continue
-            s, who, blocks, rows = (np.concatenate(x) for x in zip(self.held[own], (approx[j, at], ids[at], np.full(len(at), block), at)))
-            if len(s) > self.most:
-                keep = np.lexsort((who, -s))[: self.most]
-                s, who, blocks, rows = s[keep], who[keep], blocks[keep], rows[keep]
-                self.low[own] = s[-1]
-            self.held[own] = s, who, blocks, rows
+            at = np.flatnonzero(approx[j] >= self.low[j])
+            at = at[ids[at] != self.qid[j]]
+            while len(at):
+                if self.n[j] == self.score.shape[1]:
+                    self.cut(j)
+                n = self.n[j]
+                some = at[: self.score.shape[1] - n]
+                self.score[j, n : n + len(some)], self.who[j, n : n + len(some)], self.place[j, n : n + len(some)] = approx[j, some], ids[some], first + some
+                self.n[j] += len(some)
+                at = at[len(some) :]
 
 
 def search(queries: DataFrame, index: Index, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rerank: int | None = None, measure: str = "inner") -> DataFrame:
@@ -223,37 +262,41 @@ def search(queries: DataFrame, index: Index, k: int = 20, id_col: str = "vec_id"
     def answer(qid: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         blocks, books = sent.value
         names = [f"{p:06d}-{i:06d}" for p, m in enumerate(blocks.tolist()) for i in range(m)]
-        tables, best = AdditiveQuantiser(books).tables(q), _Best(len(q), most)
-        for b, name in enumerate(names):
+        tables, held, starts = AdditiveQuantiser(books).tables(q), _Candidates(qid, most), [0]
+        for name in names:
             file = load(f"{name}.codes")
-            ids, codes, norms = file["ids"], file["codes"], file["norms"].astype(np.float32)
-            for i in range(0, len(q), 128):
-                approx = scores(tables[i : i + 128], codes)
-                best.add(i, 2 * approx - norms if measure == "distance" else approx, ids, b, qid)
+            ids, approx = file["ids"], scores(tables, file["codes"])
+            held.add(2 * approx - file["norms"].astype(np.float32) if measure == "distance" else approx, ids, starts[-1])
+            starts.append(starts[-1] + len(ids))
+        for j in range(len(q)):
+            held.cut(j)
         # the original vectors of the candidates, block by block
-        who = np.concatenate([x[1] for x in best.held])
-        of = np.repeat(np.arange(len(q)), [len(x[1]) for x in best.held])
-        block, row = (np.concatenate([x[c] for x in best.held]) for c in (2, 3))
-        exact, order = np.zeros(len(who)), np.argsort(block, kind="stable")
-        edge = np.searchsorted(block[order], np.arange(len(names) + 1))
+        who, place = (np.concatenate([x[j, : held.n[j]] for j in range(len(q))]) for x in (held.who, held.place))
+        ends, held = np.cumsum(held.n), None
+        order = np.argsort(place, kind="stable")
+        exact, edge = np.zeros(len(who)), np.searchsorted(place, starts, sorter=order)
         for b, name in enumerate(names):
             own = order[edge[b] : edge[b + 1]]
             x = load(f"{name}.rows")["x"] if len(own) else None
-            for i in range(0, len(own), 1 << 14):
-                some = own[i : i + (1 << 14)]
-                a, c = x[row[some]], q[of[some]]
+            for i in range(0, len(own), 1 << 12):
+                some = own[i : i + (1 << 12)]
+                a, c = x[place[some] - starts[b]].astype(np.float64), q[np.searchsorted(ends, some, "right")]
                 exact[some] = (a * c).sum(1) if measure == "inner" else -((a - c) ** 2).sum(1)
-        order = np.lexsort((who, -exact, of))
-        nth = np.arange(len(order)) - np.searchsorted(of[order], of[order])
-        order, nth = order[nth < k], nth[nth < k]
-        return pa.RecordBatch.from_arrays([pa.array(qid[of[order]], pa.int64()), pa.array(nth + 1, pa.int32()), pa.array(who[order], pa.int64()), pa.array(exact[order], pa.float64())], ["query_id", "rank", "vec_id", "score"])
+        found, rated = [], np.where(np.isnan(exact), -np.inf, exact)
+        for j, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            own = a + _best(rated[a:b], who[a:b], k)
+            own = own[np.lexsort((who[own], -exact[own]))]
+            found.append((np.full(len(own), qid[j]), np.arange(1, len(own) + 1), who[own], exact[own]))
+        cols = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays(cols, ["query_id", "rank", "vec_id", "score"])
 
     def run(batches):
         held = [(np.asarray(b.column(0)), _matrix(b.column(1), d)) for b in batches if b.num_rows]  # QUERIES a task, about
         if held:
             qid, q = (np.concatenate(c) for c in zip(*held))
-            for i in range(0, len(q), QUERIES):
-                yield answer(qid[i : i + QUERIES], q[i : i + QUERIES])
+            group = _Candidates.queries(most)
+            for i in range(0, len(q), group):
+                yield answer(qid[i : i + group], q[i : i + group])
 
     return rows.mapInArrow(lean(run), schema)
 

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -375,3 +376,29 @@ def test_full_blocks_recall():
     assert np.allclose(approx, q @ made.T, atol=1e-2)
     top, exact = np.argsort(-approx, 1)[:, : len(x) // quantisation.RERANK_SHARE], np.argsort(-(q @ x.T), 1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(top.tolist(), exact.tolist())]) >= 0.9
+
+
+@pytest.mark.parametrize("most", [100, 15385])  # the latter: candidates of a query among 615384 vectors
+def test_candidates_in_bounded_memory(most):
+    """The best of all blocks, ties to the least id, whatever is cut on the way."""
+    rng = np.random.default_rng(most)
+    n, size = min(3, quantisation._Candidates.queries(most)), 20000
+    qid, ids = np.array([7, 500, 10**6])[:n], rng.permutation(3 * size)
+    approx = rng.integers(0, 40, (n, 3 * size)).astype(np.float32)  # many ties
+    tracemalloc.start()
+    try:
+        held = quantisation._Candidates(qid, most)
+        for a in range(0, 3 * size, size):
+            held.add(approx[:, a : a + size], ids[a : a + size], a)
+        for j in range(n):
+            held.cut(j)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak / n * quantisation._Candidates.queries(most) < 3 * quantisation.HELD
+    for j in range(n):
+        order = np.lexsort((ids, -approx[j]))
+        want = order[ids[order] != qid[j]][:most]
+        m = held.n[j]
+        assert m == most and set(held.place[j, :m].tolist()) == set(want.tolist())
+        assert (ids[held.place[j, :m]] == held.who[j, :m]).all()
